@@ -46,11 +46,11 @@ REQUESTED = f"""CASE WHEN number != '' THEN greatest(len(list_filter(string_spli
   WHEN {sql_upper('title')} AND length(title) < 50 THEN 1 ELSE 2 END"""
 W = "(PARTITION BY document_id ORDER BY page, line_no, atom"
 ATOMS = f"""{KINDS},
-at AS (SELECT document_id, page, line_no, 1 AS atom, kind, line AS text, number, title, ended FROM tk
+atm AS (SELECT document_id, page, line_no, 1 AS atom, kind, line AS text, number, title, ended FROM tk
   UNION ALL SELECT document_id, page, line_no, 0, 'paragraph', pending, '', '', FALSE FROM tk WHERE kind IN ('bullet', 'paragraph') AND pending != ''),
 an0 AS (SELECT *, lag(kind) OVER {W}) AS pk, lag(ended) OVER {W}) AS pe, lead(page) OVER {W}) AS np,
   last_value(CASE WHEN kind != 'id' THEN kind END IGNORE NULLS) OVER {W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pc,
-  CAST(sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER {W}) AS INT) AS section_seq FROM at),
+  CAST(sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER {W}) AS INT) AS section_seq FROM atm),
 an1 AS (SELECT *, CASE WHEN kind IN ('table', 'bullet', 'paragraph') AND (pk IS NULL OR pk != kind OR (kind = 'paragraph' AND pe)) THEN 1 ELSE 0 END AS bs,
   CASE WHEN kind = 'heading' THEN {REQUESTED} - section_seq END AS rel FROM an0),
 lastp AS (SELECT document_id, max(page) AS last_page FROM (SELECT CAST(doc_id AS VARCHAR) AS document_id, (n - 1) // 6 + 1 AS page FROM raw) GROUP BY 1),
@@ -73,7 +73,7 @@ hd AS (SELECT document_id, section_seq, level, number AS section_number, title,
   FROM an WHERE kind = 'heading')"""
 BLOCKS = f"""{HEADINGS},
 bl AS (SELECT document_id, section_seq, block_no, run_no, CASE kind WHEN 'bullet' THEN 'bullet_group' ELSE kind END AS block_type,
-  string_agg(text, CASE kind WHEN 'paragraph' THEN ' ' ELSE chr(10) END ORDER BY page, line_no, atom) AS text,
+  CASE kind WHEN 'paragraph' THEN string_agg(text, ' ' ORDER BY page, line_no, atom) ELSE string_agg(text, chr(10) ORDER BY page, line_no, atom) END AS text,
   list(text ORDER BY page, line_no, atom) AS lines,
   min(page) AS page_start, arg_max(page_end, [page, line_no, atom]) AS page_end
   FROM an WHERE kind IN ('table', 'bullet', 'paragraph') GROUP BY document_id, section_seq, block_no, run_no, kind)"""
@@ -151,11 +151,9 @@ def t11(spark, sf):
     return T.section_rows(atoms(spark, sf)).select("document_id", "section_seq", "page_start", "page_end", "first_block")
 
 
-@query("t12_preorder_traversal", f"""WITH {SECTIONS} SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY section_seq) AS position,
-  level, section_number, title, heading_path FROM sec""")
+@query("t12_preorder_traversal", f"WITH {SECTIONS} SELECT document_id, section_seq AS position, level, section_number, title, heading_path FROM sec")
 def t12(spark, sf):
-    from pyspark.sql import Window
-    df = T.section_rows(atoms(spark, sf))
-    first = F.min("section_seq").over(Window.partitionBy("document_id"))
-    return df.select("document_id", (F.col("section_seq") - first + 1).alias("position"), "level", "section_number", "title",
-                     F.array_join("heading_path", " > ").alias("heading_path"))
+    # reading order is pre-order: a heading comes after its parent and before the next sibling of it
+    return T.section_rows(atoms(spark, sf)).select(
+        "document_id", F.col("section_seq").alias("position"), "level", "section_number", "title",
+        F.array_join("heading_path", " > ").alias("heading_path")).orderBy("document_id", "position")
