@@ -27,15 +27,32 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * _common(a, b) / n if n else 100.0
 
 
-def partial_ratio(a: str, b: str) -> float:
+def partial_ratio(a: str, b: str, threshold: float = 0.0) -> float:
     """Best ratio of the shorter string with any window of the longer one;
-    windows may hang over either end."""
+    windows may hang over either end. Scores below ``threshold`` come back as 0.
+
+    A window that reaches the threshold differs from the string by at most
+    ``k`` insertions and deletions, so of ``k + 1`` pieces of the string one is
+    in it unchanged: only windows around a piece's occurrences are scored.
+    """
     if len(a) > len(b):
         a, b = b, a
     m, n = len(a), len(b)
     if not m:
         return 100.0 if not n else 0.0
-    return max(ratio(a, b[max(0, i):i + m]) for i in range(1 - m, n))
+    k = int((1.0 - threshold / 100.0) * 2 * m + 1e-9)
+    if k + 1 > m:
+        starts = range(1 - m, n)
+    else:
+        cuts = [i * m // (k + 1) for i in range(k + 2)]
+        starts = set()
+        for lo, hi in zip(cuts, cuts[1:]):
+            at = b.find(a[lo:hi])
+            while at >= 0:
+                starts.update(range(max(1 - m, at - lo - k), min(n, at - lo + k + 1)))
+                at = b.find(a[lo:hi], at + 1)
+    best = max((ratio(a, b[max(0, i):i + m]) for i in starts), default=0.0)
+    return best if best >= threshold else 0.0
 
 
 def _first_best(scored):
@@ -54,7 +71,10 @@ def fuzzy_carrier(tokens: Column, aliases=V.CARRIER_ALIASES, threshold: float =
         def one(words):
             if words is None:
                 return None
-            name, score = _first_best((ratio(w, alias), n) for w in words for n, alias in aliases)
+            # lengths too far apart cannot reach the threshold
+            name, score = _first_best(
+                (ratio(w, alias), n) for w in words for n, alias in aliases
+                if 200.0 * min(len(w), len(alias)) >= threshold * (len(w) + len(alias)))
             return name if score >= threshold else None
         return batch.map(one).astype(object)
     return detect(tokens)
@@ -71,7 +91,7 @@ def fuzzy_lob(query: Column, lobs=V.LOB_KEYWORDS, threshold: float = V.FUZZY_THR
         def one(q):
             if q is None or not words:
                 return None
-            score, _, lob = max(((partial_ratio(kw, q), len(kw), lob) for kw, lob in words), key=lambda t: t[:2])
+            score, _, lob = max(((partial_ratio(kw, q, threshold), len(kw), lob) for kw, lob in words), key=lambda t: t[:2])
             return lob if score >= threshold else None
         return batch.map(one).astype(object)
     return detect(query)

@@ -26,17 +26,21 @@ def r02(spark, sf):
     return questions(spark, sf).select("query_id", R.detect_lob(Q, LOBS).alias("line_of_business"))
 
 
+def messages(spark, sf):
+    """what users typed, with misspelt names"""
+    said = F.concat(F.element_at(F.array(F.lit("sorce"), F.lit("saral suraksa "), F.lit("retirment ")), F.col("turn") % 3 + 1), F.col("conv_id") % 20, F.lit(" "), F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.lower(said).alias("q"))
+
+
 @query("r03_fuzzy_carrier")
 def r03(spark, sf):
-    # misspelt names of sources in every document's head
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("about sorce"), F.substring("source", 4, 3), F.lit(" "), F.col("text")).alias("q"))
     names = tuple((f"SRC{i}", f"source{i}") for i in range(20))
-    return d.select("doc_id", Y.fuzzy_carrier(F.array_distinct(X.tokens(F.col("q"))), names).alias("carrier"))
+    return messages(spark, sf).select("conv_id", "turn", Y.fuzzy_carrier(F.array_distinct(X.tokens(F.col("q"))), names).alias("carrier"))
 
 
 @query("r04_fuzzy_lob")
 def r04(spark, sf):
-    return questions(spark, sf).select("query_id", Y.fuzzy_lob(F.lower(F.concat(F.lit("saral suraksa "), Q))).alias("line_of_business"))
+    return messages(spark, sf).select("conv_id", "turn", Y.fuzzy_lob(F.col("q")).alias("line_of_business"))
 
 
 @query("r05_admin_intent", f"WITH {DETECTED} SELECT query_id, is_admin, search_query FROM qd")
