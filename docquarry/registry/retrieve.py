@@ -28,7 +28,7 @@ def r02(spark, sf):
 
 def messages(spark, sf):
     """what users typed, with misspelt names"""
-    said = F.concat(F.element_at(F.array(F.lit("sorce"), F.lit("saral suraksa "), F.lit("retirment ")), F.col("turn") % 3 + 1), F.col("conv_id") % 20, F.lit(" "), F.col("text"))
+    said = F.concat(F.element_at(F.array(F.lit("sorce"), F.lit("saral suraksa "), F.lit("retirment ")), (F.col("turn") % 3 + 1).cast("int")), F.col("conv_id") % 20, F.lit(" "), F.col("text"))
     return table(spark, sf, "conversations").select("conv_id", "turn", F.lower(said).alias("q"))
 
 
