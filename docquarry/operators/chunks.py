@@ -276,7 +276,9 @@ def document_offsets(counts: DataFrame, order: str = "relative_path") -> DataFra
 
 
 def index_chunks(chunks: DataFrame, order: str = "relative_path") -> DataFrame:
-    """``chunk_index`` over the corpus, documents in path order."""
+    """``chunk_index`` over the corpus, documents in path order. The chunks are
+    written first: they are read for the counts and for the result."""
+    chunks = cut(chunks, "chunks")
     counts = chunks.groupBy("document_id").agg(F.first(order).alias(order), F.count(F.lit(1)).alias("n"))
     offsets = document_offsets(counts, order).drop(order)
     return chunks.join(offsets, "document_id").withColumn(

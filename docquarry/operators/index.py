@@ -12,22 +12,34 @@ from pyspark.sql import functions as F
 
 from docquarry import fixed as V
 from docquarry.functions.joins import guarded_join, is_small
-from docquarry.functions.text import tokens
+from docquarry.functions.text import let, tokens
+from docquarry.session import cut
 
 SCOPE = ["carrier", "line_of_business"]
 SCOPES = [SCOPE, ["carrier"], ["line_of_business"], []]
 
 
 # --- statistics -------------------------------------------------------------------
+def term_counts(words: Column) -> Column:
+    """Array of (term, tf) of one chunk: sort its words, then run lengths. A
+    chunk is in one row, so counting in it needs no shuffle."""
+    def runs(s):
+        heads = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.try_element_at(s, i - 1 + F.when(i == 1, 1).otherwise(0))))
+        return let(F.when(F.size(s) > 0, heads).otherwise(F.array().cast("array<int>")), lambda h: F.transform(
+            h, lambda p, i: F.struct(F.element_at(s, p).alias("term"), (
+                F.coalesce(F.try_element_at(h, i + 2), F.size(s) + 1) - p).cast("long").alias("tf"))))
+    return let(F.sort_array(words), runs)
+
+
 def postings(chunks: DataFrame, text: str = "page_content", only: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, [scope], term, tf, dl). With ``only`` (a table of terms) other
-    terms are dropped before anything is shuffled."""
+    """(chunk_id, [scope], term, tf, dl), without a shuffle. ``only`` (a table
+    of terms) leaves out the terms that nobody asks for."""
     scope = [c for c in SCOPE if c in chunks.columns]
     words = chunks.select("chunk_id", *scope, tokens(F.col(text)).alias("_t")).select(
-        "chunk_id", *scope, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+        "chunk_id", *scope, F.size("_t").alias("dl"), F.inline(term_counts(F.col("_t"))))
     if only is not None:
         words = guarded_join(words, only.select("term").distinct(), ["term"], "left_semi", spread=F.col("chunk_id"))
-    return words.groupBy("chunk_id", *scope, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return words
 
 
 def term_stats(chunks: DataFrame, text: str = "page_content") -> DataFrame:
@@ -61,19 +73,22 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(n - df + F.lit(0.5)) - F.log(df + F.lit(0.5))
 
 
+def scope_key(*names: str) -> Column:
+    """One column for a scope; null parts (any) have a mark of their own."""
+    return F.concat_ws("\x1f", *[F.coalesce(n, F.lit("\x00")) for n in names or SCOPE])
+
+
 def scoped_idf(chunks: DataFrame, text: str = "page_content") -> tuple[DataFrame, DataFrame]:
-    """(term weights, corpus statistics) by scope. A negative weight becomes a
-    quarter of the mean weight of its scope."""
-    corpus = scoped_corpus_stats(chunks, text)
-    stats = scoped_term_stats(chunks, text)
-    same = lambda a, b: F.col(f"{a}.carrier").eqNullSafe(F.col(f"{b}.carrier")) & F.col(
-        f"{a}.line_of_business").eqNullSafe(F.col(f"{b}.line_of_business"))
-    # one row per scope: the number of carriers times lines of business
-    raw = stats.alias("t").join(corpus.alias("c"), same("t", "c")).select(
-        "t.*", idf(F.col("n"), F.col("df")).alias("raw"))
-    mean = raw.groupBy(*SCOPE).agg(F.avg("raw").alias("mean"))
-    corpus = corpus.alias("c").join(mean.alias("m"), same("c", "m")).select("c.*", "mean")
-    return raw, corpus
+    """(term weights, corpus statistics) by ``scope``. A negative weight is
+    later replaced by a quarter of the mean weight of its scope. Both are
+    written to the shared folder: they are read several times, and the number
+    of scopes is then known, so that sending it to all tasks can be decided."""
+    corpus = cut(scoped_corpus_stats(chunks, text).withColumn("scope", scope_key()).drop(*SCOPE), "corpus")
+    stats = cut(scoped_term_stats(chunks, text).withColumn("scope", scope_key()).drop(*SCOPE), "terms")
+    raw = guarded_join(stats, corpus, ["scope"], spread=F.col("term")).select(
+        "scope", "term", "df", idf(F.col("n"), F.col("df")).alias("raw"))
+    mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean"))
+    return raw, corpus.join(mean, "scope")
 
 
 def query_terms(queries: DataFrame, text: str = "search_query") -> DataFrame:
@@ -88,16 +103,15 @@ def bm25(weight: Column, tf: Column, dl: Column, avgdl: Column, k1: float = V.BM
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "page_content", query_text: str = "search_query") -> DataFrame:
     """Scores of all chunks that share a word with a query, whole corpus."""
-    terms = query_terms(queries, query_text)
-    stats, corpus = term_stats(chunks, text), corpus_stats(chunks, text)
-    # a single row of totals, and a single row for the mean weight
-    weighted = stats.join(F.broadcast(corpus), how="cross").withColumn("raw", idf(F.col("n"), F.col("df")))
-    mean = weighted.agg(F.avg("raw").alias("mean"), F.first("n").alias("n"), F.first("avgdl").alias("avgdl"))
-    mine = terms.join(stats, "term").join(F.broadcast(mean), how="cross").withColumn(
+    stats = cut(term_stats(chunks, text), "terms")
+    # tables of a single row: the totals, and the mean weight
+    weighted = stats.join(F.broadcast(corpus_stats(chunks, text)), how="cross").withColumn("raw", idf(F.col("n"), F.col("df")))
+    totals = weighted.agg(F.avg("raw").alias("mean"), F.first("n").alias("n"), F.first("avgdl").alias("avgdl"))
+    mine = query_terms(queries, query_text).join(stats, "term").join(F.broadcast(totals), how="cross").withColumn(
         "raw", idf(F.col("n"), F.col("df"))).select(
         "query_id", "term", "qtf", "avgdl",
         F.when(F.col("raw") < 0, V.BM25_FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("weight"))
-    hits = guarded_join(postings(chunks, text, terms), mine, ["term"], spread=F.col("chunk_id"))
+    hits = guarded_join(postings(chunks, text), cut(mine, "query-terms"), ["term"], spread=F.col("chunk_id"))
     part = F.col("qtf") * bm25(F.col("weight"), F.col("tf"), F.col("dl"), F.col("avgdl"))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
@@ -107,19 +121,14 @@ def scoped_bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "page_
     carrier and line_of_business (null: any)."""
     terms = query_terms(queries, query_text)
     raw, corpus = scoped_idf(chunks, text)
-    scoped = terms.join(queries.select("query_id", *SCOPE), "query_id")
-    same = lambda b: F.col("q.carrier").eqNullSafe(F.col(f"{b}.carrier")) & F.col("q.line_of_business").eqNullSafe(
-        F.col(f"{b}.line_of_business"))
-    mine = (
-        scoped.alias("q").join(raw.alias("r"), (F.col("q.term") == F.col("r.term")) & same("r"))
-        .join(corpus.alias("c"), same("c"))
-        .select("query_id", "q.term", "qtf", "avgdl", F.col("q.carrier").alias("q_carrier"),
-                F.col("q.line_of_business").alias("q_lob"),
-                F.when(F.col("raw") < 0, V.BM25_FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("weight"))
-    )
+    asked = terms.join(queries.select("query_id", scope_key().alias("scope"), F.col("carrier").alias("q_carrier"),
+                                      F.col("line_of_business").alias("q_lob")), "query_id")
+    mine = asked.join(raw, ["scope", "term"]).join(corpus, "scope").withColumn(
+        "weight", F.when(F.col("raw") < 0, V.BM25_FLOOR * F.col("mean")).otherwise(F.col("raw")))
+    mine = cut(mine.select("query_id", "term", "qtf", "avgdl", "q_carrier", "q_lob", "weight"), "query-terms")
     inside = (F.col("q_carrier").isNull() | (F.col("q_carrier") == F.col("carrier"))) & (
         F.col("q_lob").isNull() | (F.col("q_lob") == F.col("line_of_business")))
-    hits = guarded_join(postings(chunks, text, terms), mine, ["term"], condition=inside, spread=F.col("chunk_id"))
+    hits = guarded_join(postings(chunks, text), mine, ["term"], condition=inside, spread=F.col("chunk_id"))
     part = F.col("qtf") * bm25(F.col("weight"), F.col("tf"), F.col("dl"), F.col("avgdl"))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.session import cut, spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,8 +26,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+TEXTS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, TEXTS[name]) if name in TEXTS else df
 
 
 def lit(s: str) -> str:
@@ -154,6 +160,11 @@ QUERY = """CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN concat(text, ' SRC', it
   WHEN 2 THEN concat(text, ' src3 src5 claim form') ELSE concat(text, ' Src', item_id % 20, ' group term benefit 30%') END"""
 
 
+def stored_chunks(spark, sf, vectors: bool = False) -> DataFrame:
+    """the chunk view as a table, for queries that read it more than twice"""
+    return cut(chunks(spark, sf, vectors), "chunks")
+
+
 def chunks(spark, sf, vectors: bool = False) -> DataFrame:
     """windows of words as chunks; one page per window"""
     from docquarry.operators.chunks import token_windows

@@ -124,7 +124,8 @@ ck AS (SELECT *, CASE WHEN ctx = '' THEN text ELSE concat('[Context: ', ctx, ']
 
 
 def built(spark, sf):
-    return K.build_chunks(atoms(spark, sf), documents_meta(spark, sf))
+    numbered, long = T.parse_pages(pages(spark, sf), write_stages=True)
+    return K.build_chunks(numbered, documents_meta(spark, sf), segmented=long)
 
 
 @query("k07_chunk_id", f"WITH {CHUNK_TABLE} SELECT document_id, chunk_type, chunk_id, parent_chunk_id FROM ck")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from docquarry import fixed as V
 from docquarry.operators import index as X
 from docquarry.operators import retrieve as R
-from docquarry.registry.base import CARRIERS, CHUNKS, LOBS, QUESTIONS, chunks, lit, query, questions, sql_any, table
+from docquarry.registry.base import CARRIERS, CHUNKS, LOBS, QUESTIONS, chunks, lit, query, questions, sql_any, stored_chunks, table
 
 CONFIG = R.SearchConfig(carriers=CARRIERS, lobs=LOBS, fuzzy=False)
 TOK = lambda x: f"regexp_extract_all(lower({x}), {lit(V.TOKEN)})"
@@ -55,7 +55,7 @@ idf AS (SELECT *, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw0) ELSE
 
 @query("x04_bm25_scores", f"WITH {CHUNKS}, {QUESTIONS}, {GLOBAL} SELECT query_id, chunk_id, round(score, 6) AS score FROM sc")
 def x04(spark, sf):
-    return X.bm25_scores(chunks(spark, sf), questions(spark, sf), query_text="query").withColumn("score", F.round("score", 6))
+    return X.bm25_scores(stored_chunks(spark, sf), questions(spark, sf), query_text="query").withColumn("score", F.round("score", 6))
 
 
 # --- what a query is about; the scope of the search ----------------------------------
@@ -75,7 +75,7 @@ ssc AS (SELECT qt.query_id, po.chunk_id, sum({PART}) AS score FROM qt JOIN qd US
 @query("x04_bm25_scoped_scores", f"WITH {CHUNKS}, {DETECTED}, {SCOPED_SCORES} SELECT query_id, chunk_id, round(score, 6) AS score FROM ssc")
 def x04s(spark, sf):
     scoped = R.detect_scope(questions(spark, sf), CONFIG)
-    return X.scoped_bm25_scores(chunks(spark, sf), scoped).withColumn("score", F.round("score", 6))
+    return X.scoped_bm25_scores(stored_chunks(spark, sf), scoped).withColumn("score", F.round("score", 6))
 
 
 @query("x05_hashed_vectors")

@@ -5,8 +5,9 @@ from docquarry import fixed as V
 from docquarry.functions import similarity as Y
 from docquarry.operators import index as X
 from docquarry.operators import retrieve as R
-from docquarry.registry.base import CARRIERS, CHUNKS, LOBS, QUESTIONS, chunks, lit, query, questions, sql_any, sql_rx, table
-from docquarry.registry.index import CONFIG, DETECTED, DOT, GLOBAL, SCOPED_SCORES, TOK
+from docquarry.registry.base import CARRIERS, CHUNKS, LOBS, chunks, lit, query, questions, sql_any, stored_chunks, table
+from docquarry.registry.index import CONFIG, DETECTED, DOT, SCOPED_SCORES, TOK
+from docquarry.session import cut
 
 Q = F.col("query")
 
@@ -78,7 +79,7 @@ SPARSE = """sr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY quer
 
 @query("r08_sparse_top", f"WITH {CHUNKS}, {DETECTED}, {SCOPED_SCORES}, {SPARSE.format(s='ssc')} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM sr")
 def r08(spark, sf):
-    scores = X.scoped_bm25_scores(chunks(spark, sf), detected(spark, sf))
+    scores = X.scoped_bm25_scores(stored_chunks(spark, sf), detected(spark, sf))
     return R.sparse_candidates(scores).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -95,13 +96,14 @@ pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id {FO})
   SELECT *, row_number() OVER (PARTITION BY query_id, upper(coalesce(carrier, 'OTHER')) {FO}) AS side_no FROM pj) WHERE NOT is_comparison OR side_no <= 8) WHERE fused_rank <= 15)"""
 
 
-def fused(spark, sf):
-    c, q = chunks(spark, sf, vectors=True), detected(spark, sf, vectors=True)
+def fused(spark, sf, c=None):
+    c, q = c or stored_chunks(spark, sf, vectors=True), detected(spark, sf, vectors=True)
     return R.fuse(X.nearest(c.filter("embedding IS NOT NULL"), q), R.sparse_candidates(X.scoped_bm25_scores(c.drop("embedding"), q)))
 
 
-def pool(spark, sf):
-    df = R.fetch(chunks(spark, sf).drop("line_of_business"), fused(spark, sf), True)
+def pool(spark, sf, c=None):
+    c = c or stored_chunks(spark, sf, vectors=True)
+    df = R.fetch(c.drop("line_of_business", "embedding"), fused(spark, sf, c), True)
     return R.balanced_pool(df.join(detected(spark, sf).select("query_id", "query", "is_admin", "is_comparison"), "query_id"))
 
 
@@ -166,17 +168,12 @@ STITCHED = f"""{CHOSEN}, sx AS (SELECT se.*, CASE WHEN position <= 2 THEN concat
   FROM se LEFT JOIN wc p ON p.chunk_id = se.previous_chunk_id LEFT JOIN wc n ON n.chunk_id = se.next_chunk_id)"""
 
 
-def scored(spark, sf):
-    return R.score_candidates(pool(spark, sf), CONFIG)
+def tiered(spark, sf, c=None):
+    return R.confidence_tier(R.score_candidates(pool(spark, sf, c), CONFIG))
 
 
-def tiered(spark, sf):
-    return R.confidence_tier(scored(spark, sf))
-
-
-def chosen(spark, sf):
-    from docquarry.session import cut
-    return cut(R.diversify(tiered(spark, sf)), "selected")
+def chosen(spark, sf, c):
+    return cut(R.diversify(tiered(spark, sf, c)), "selected")
 
 
 @query("r18_confidence_tier", f"WITH {TIERED} SELECT query_id, chunk_id, confidence_tier, round(score, 6) AS score FROM ti")
@@ -191,7 +188,8 @@ def r19(spark, sf):
 
 @query("r20_neighbour_stitching", f"WITH {STITCHED} SELECT query_id, chunk_id, position, text FROM sx")
 def r20(spark, sf):
-    return R.stitch(chosen(spark, sf), chunks(spark, sf), True).select("query_id", "chunk_id", "position", "text")
+    c = stored_chunks(spark, sf, vectors=True)
+    return R.stitch(chosen(spark, sf, c), c, True).select("query_id", "chunk_id", "position", "text")
 
 
 SIB = """sib AS (SELECT filename, page_number - 1 AS page_number, arg_max(chunk_id, chunk_index) AS sid, arg_max(page_content, chunk_index) AS stext FROM wc GROUP BY 1, 2),
@@ -210,8 +208,8 @@ ctx AS (SELECT query_id, i AS rank, f.ids[i] AS chunk_id, f.sibs[i] AS is_siblin
 
 
 def context(spark, sf, budget=V.TOKEN_BUDGET):
-    c = chunks(spark, sf)
-    return R.pack_context(R.with_siblings(R.stitch(chosen(spark, sf), c, True), c, True), budget)
+    c = stored_chunks(spark, sf, vectors=True)
+    return R.pack_context(R.with_siblings(R.stitch(chosen(spark, sf, c), c, True), c, True), budget)
 
 
 @query("r21_token_budget", f"WITH {CONTEXT(700)} SELECT query_id, rank, chunk_id FROM ctx")
@@ -234,6 +232,6 @@ RESULT = f"""{CONTEXT(3500)}, rs AS (SELECT ctx.query_id, ctx.rank, ctx.chunk_id
 
 @query("r23_result_rows", f"WITH {RESULT} SELECT query_id, rank, chunk_id, text, round(score, 6) AS score, round(semantic_score, 6) AS semantic_score, confidence_tier, is_sibling_expansion, filename, page_number FROM rs")
 def r23(spark, sf):
-    df = R.search(chunks(spark, sf, vectors=True), questions(spark, sf, vectors=True), CONFIG)
+    df = R.search(stored_chunks(spark, sf, vectors=True), questions(spark, sf, vectors=True), CONFIG)
     return df.select("query_id", "rank", "chunk_id", "text", F.round("score", 6).alias("score"), F.round("semantic_score", 6).alias("semantic_score"),
                      "confidence_tier", "is_sibling_expansion", "filename", "page_number")
