@@ -64,9 +64,9 @@ def neighbours(
         return out
     per = df.groupBy(*key, "seg").agg(first_value(row, order).alias("_f"), last_value(row, order).alias("_l"))
     ws = Window.partitionBy(*key).orderBy("seg")
-    carry = per.select(*key, "seg", F.last("_l").over(before(ws)).alias("_p"), F.first("_f").over(after(ws)).alias("_n"))
+    carry = per.select(*key, "seg", F.last("_l").over(before(ws)).alias("_carry_prev"), F.first("_f").over(after(ws)).alias("_carry_next"))
     return add_carry(out, carry, key).withColumns(
-        {"prev": F.coalesce("prev", "_p"), "next": F.coalesce("next", "_n")}).drop("_p", "_n")
+        {"prev": F.coalesce("prev", "_carry_prev"), "next": F.coalesce("next", "_carry_next")}).drop("_carry_prev", "_carry_next")
 
 
 def running_total(
@@ -78,5 +78,5 @@ def running_total(
     if not segmented:
         return out
     per = df.groupBy(*key, "seg").agg(F.sum(value).alias("_s"))
-    carry = per.select(*key, "seg", F.sum("_s").over(before(Window.partitionBy(*key).orderBy("seg"))).alias("_c"))
-    return add_carry(out, carry, key).withColumn(name, F.col(name) + F.coalesce("_c", F.lit(0))).drop("_c")
+    carry = per.select(*key, "seg", F.sum("_s").over(before(Window.partitionBy(*key).orderBy("seg"))).alias("_carry_sum"))
+    return add_carry(out, carry, key).withColumn(name, F.col(name) + F.coalesce("_carry_sum", F.lit(0))).drop("_carry_sum")

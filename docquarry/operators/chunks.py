@@ -10,7 +10,7 @@ from docquarry import fixed as V
 from docquarry.functions import scan as S
 from docquarry.functions.packing import greedy_packs
 from docquarry.functions.text import collapse, contains_any, let, rx, strip
-from docquarry.operators.sections import block_rows, block_spans, section_rows
+from docquarry.operators.sections import block_rows, section_rows
 from docquarry.session import cut
 
 
@@ -172,17 +172,17 @@ def merge_short_packs(
 
 
 # --- the chunk table --------------------------------------------------------------
-def chunk_units(atoms: DataFrame, max_chars: int = V.MAX_CHARS, segmented: bool = False) -> DataFrame:
+def chunk_units(atoms: DataFrame, max_chars: int = V.MAX_CHARS, segmented: bool = False, blocks: DataFrame | None = None) -> DataFrame:
     """Tables (whole), bullet packs and sentence packs in one table, each with
     its place in the document and in the numbering of its section."""
-    blocks = block_rows(atoms)
-    spans = block_spans(atoms)
+    blocks = block_rows(atoms, bullet_lines=False) if blocks is None else blocks
     tables = blocks.filter(F.col("block_type") == "table").select(
         "document_id", "seg", "section_seq", "block_no", F.lit(0).alias("sub"), F.lit("table").alias("chunk_type"),
         F.array_join("lines", "\n").alias("text"), "lines", F.lit(None).cast("int").alias("bullet_count"),
         "page_start", "page_end")
     bullets = bullet_packs(atoms, max_chars, segmented).join(
-        spans.select("document_id", "block_no", "page_start", "page_end"), ["document_id", "block_no"]
+        blocks.filter(F.col("block_type") == "bullet_group").select("document_id", "block_no", "page_start", "page_end"),
+        ["document_id", "block_no"]
     ).select(
         "document_id", "seg", "section_seq", "block_no", F.col("pack").cast("int").alias("sub"),
         F.lit("bullet_group").alias("chunk_type"), "text", F.lit(None).cast("array<string>").alias("lines"),
@@ -190,7 +190,7 @@ def chunk_units(atoms: DataFrame, max_chars: int = V.MAX_CHARS, segmented: bool
     packs = sentence_packs(blocks, max_chars, segmented)
     if segmented:
         packs = cut(packs, "packs")
-    runs = spans.filter(F.col("kind") == "paragraph").groupBy("document_id", "run_no").agg(F.min("block_no").alias("_first"))
+    runs = blocks.filter(F.col("block_type") == "paragraph").groupBy("document_id", "run_no").agg(F.min("block_no").alias("_first"))
     paragraphs = merge_short_packs(packs, max_chars, segmented=segmented).join(runs, ["document_id", "run_no"]).select(
         "document_id", "seg", "section_seq", F.col("_first").alias("block_no"), F.col("idx").alias("sub"),
         F.lit("paragraph").alias("chunk_type"), "text", F.lit(None).cast("array<string>").alias("lines"),
@@ -202,9 +202,11 @@ def build_chunks(
     atoms: DataFrame, documents: DataFrame, max_chars: int = V.MAX_CHARS, segmented: bool = False,
 ) -> DataFrame:
     """The chunk table. ``documents`` has document_id, source, relative_path,
-    document_type, document_priority and the folder metadata."""
-    units = chunk_units(atoms, max_chars, segmented)
-    sections = section_rows(atoms, segmented).select(
+    document_type, document_priority and the folder metadata. Blocks are
+    written to the shared folder, since five steps read them."""
+    blocks = cut(block_rows(atoms, bullet_lines=False), "blocks")
+    units = chunk_units(atoms, max_chars, segmented, blocks)
+    sections = section_rows(atoms, segmented, blocks).select(
         "document_id", "section_seq", "section_number", F.col("title").alias("section_title"),
         F.col("level").alias("section_level"), F.array_join("heading_path", " > ").alias("heading_path"),
         "heading_confidence", "first_block")

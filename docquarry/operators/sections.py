@@ -289,9 +289,13 @@ def heading_rows(atoms: DataFrame, segmented: bool = False) -> DataFrame:
     )
 
 
-def block_rows(atoms: DataFrame) -> DataFrame:
-    """Content blocks with their lines. A paragraph is one line of text."""
+def block_rows(atoms: DataFrame, bullet_lines: bool = True) -> DataFrame:
+    """Content blocks with their lines. A paragraph is one line of text. A
+    table and a paragraph are one value each by what they are; a list of bullets
+    can be left open (``bullet_lines=False``) where its items are packed apart."""
     item = F.struct(*ATOM_ORDER, "text")
+    if not bullet_lines:
+        item = F.when(F.col("kind") != "bullet", item)
     lines = F.transform(F.sort_array(F.collect_list(item)), lambda s: s.text)
     return (
         atoms.filter(F.col("kind").isin("table", "bullet", "paragraph"))
@@ -316,10 +320,11 @@ def block_spans(atoms: DataFrame) -> DataFrame:
     )
 
 
-def section_rows(atoms: DataFrame, segmented: bool = False) -> DataFrame:
+def section_rows(atoms: DataFrame, segmented: bool = False, blocks: DataFrame | None = None) -> DataFrame:
     """Sections in reading order (which is pre-order), with page range and the
-    number of their first block. Section 0 is what precedes the first heading."""
-    spans = block_spans(atoms).groupBy("document_id", "section_seq").agg(
+    number of their first block. Section 0 is what precedes the first heading.
+    ``blocks`` saves counting the blocks again."""
+    spans = (block_spans(atoms) if blocks is None else blocks).groupBy("document_id", "section_seq").agg(
         F.min("page_start").alias("_ps"), F.max(F.greatest("page_start", "page_end")).alias("_pe"),
         F.min("block_no").alias("first_block"),
     )
