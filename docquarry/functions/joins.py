@@ -32,7 +32,7 @@ def guarded_join(
         joined = big.join(F.broadcast(small), on, how)
     else:
         salt = F.pmod(F.xxhash64(spread if spread is not None else F.struct(*big.columns)), F.lit(salts))
-        copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+        copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         joined = big.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
     return joined if condition is None else joined.filter(condition)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docquarry import fixed as V
 from docquarry.functions import scan as S
+from docquarry.functions.joins import guarded_join
 from docquarry.functions.packing import greedy_packs
 from docquarry.functions.text import collapse, contains_any, let, rx, strip
 from docquarry.operators.sections import block_rows, section_rows
@@ -172,6 +173,15 @@ def merge_short_packs(
 
 
 # --- the chunk table --------------------------------------------------------------
+def _attach(rows: DataFrame, attributes: DataFrame, on: list[str], segmented: bool) -> DataFrame:
+    """Join attributes of a document, section, run or block to its many rows.
+    Only a document longer than a segment can make such a key hot; its rows are
+    then spread over salted copies of the attributes."""
+    if not segmented:
+        return rows.join(attributes, on)
+    return guarded_join(rows, attributes, on, spread=F.struct(*[c for c in rows.columns if c not in on]))
+
+
 def chunk_units(atoms: DataFrame, max_chars: int = V.MAX_CHARS, segmented: bool = False, blocks: DataFrame | None = None) -> DataFrame:
     """Tables (whole), bullet packs and sentence packs in one table, each with
     its place in the document and in the numbering of its section."""
@@ -180,9 +190,10 @@ def chunk_units(atoms: DataFrame, max_chars: int = V.MAX_CHARS, segmented: bool
         "document_id", "seg", "section_seq", "block_no", F.lit(0).alias("sub"), F.lit("table").alias("chunk_type"),
         F.array_join("lines", "\n").alias("text"), "lines", F.lit(None).cast("int").alias("bullet_count"),
         "page_start", "page_end")
-    bullets = bullet_packs(atoms, max_chars, segmented).join(
+    bullets = _attach(
+        bullet_packs(atoms, max_chars, segmented),
         blocks.filter(F.col("block_type") == "bullet_group").select("document_id", "block_no", "page_start", "page_end"),
-        ["document_id", "block_no"]
+        ["document_id", "block_no"], segmented
     ).select(
         "document_id", "seg", "section_seq", "block_no", F.col("pack").cast("int").alias("sub"),
         F.lit("bullet_group").alias("chunk_type"), "text", F.lit(None).cast("array<string>").alias("lines"),
@@ -191,7 +202,8 @@ def chunk_units(atoms: DataFrame, max_chars: int = V.MAX_CHARS, segmented: bool
     if segmented:
         packs = cut(packs, "packs")
     runs = blocks.filter(F.col("block_type") == "paragraph").groupBy("document_id", "run_no").agg(F.min("block_no").alias("_first"))
-    paragraphs = merge_short_packs(packs, max_chars, segmented=segmented).join(runs, ["document_id", "run_no"]).select(
+    merged = merge_short_packs(packs, max_chars, segmented=segmented)
+    paragraphs = _attach(merged, runs, ["document_id", "run_no"], segmented).select(
         "document_id", "seg", "section_seq", F.col("_first").alias("block_no"), F.col("idx").alias("sub"),
         F.lit("paragraph").alias("chunk_type"), "text", F.lit(None).cast("array<string>").alias("lines"),
         F.lit(None).cast("int").alias("bullet_count"), "page_start", "page_end")
@@ -214,7 +226,7 @@ def build_chunks(
     docs = documents.select(
         "document_id", "source", "relative_path", "document_type", "document_priority",
         *[F.coalesce(c, F.lit("")).alias(c) for c in text_cols])
-    df = units.join(sections, ["document_id", "section_seq"]).join(docs, "document_id")
+    df = _attach(_attach(units, sections, ["document_id", "section_seq"], segmented), docs, ["document_id"], segmented)
     index = F.col("block_no") - F.col("first_block")
     block = (
         F.when(F.col("chunk_type") == "bullet_group", F.concat_ws("_", index, F.col("sub")))

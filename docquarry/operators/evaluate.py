@@ -166,7 +166,7 @@ def citation_correctness(answers: DataFrame, results: DataFrame, carriers=V.CARR
     src = results.select("query_id", F.col("page_number").alias("page"), F.lower(F.coalesce("filename", F.lit(""))).alias("_f"),
                          F.lower(F.coalesce("carrier", F.lit(""))).alias("_c"))
     doc = F.col("doc_type")
-    ok = (doc == "unknown") | F.col("_f").contains(doc) | F.col("_c").contains(doc)
+    ok = F.col("_f").isNotNull() & ((doc == "unknown") | F.col("_f").contains(doc) | F.col("_c").contains(doc))
     each = cited.join(src, ["query_id", "page"], "left").groupBy("query_id", "citation_no").agg(
         F.coalesce(F.max(ok), F.lit(False)).alias("_ok"))
     per = each.groupBy("query_id").agg(F.count(F.lit(1)).alias("citations_found"), F.avg(F.col("_ok").cast("double")).alias("citation_correctness"))

@@ -31,12 +31,21 @@ def term_counts(words: Column) -> Column:
     return let(F.sort_array(words), runs)
 
 
-def postings(chunks: DataFrame, text: str = "page_content", only: DataFrame | None = None) -> DataFrame:
+def postings(chunks: DataFrame, text: str = "page_content", only: DataFrame | None = None, by_chunk: bool = False) -> DataFrame:
     """(chunk_id, [scope], term, tf, dl), without a shuffle. ``only`` (a table
-    of terms) leaves out the terms that nobody asks for."""
+    of terms) leaves out the terms that nobody asks for.
+
+    ``by_chunk`` hands the chunks out by their id first, one row each. Scores
+    per (query, chunk) are then complete inside a task, and so is the cut to the
+    best per query: what is shuffled is one row per chunk and a few rows per
+    query and task, not one row per pair of a query and a chunk.
+    """
     scope = [c for c in SCOPE if c in chunks.columns]
-    words = chunks.select("chunk_id", *scope, tokens(F.col(text)).alias("_t")).select(
-        "chunk_id", *scope, F.size("_t").alias("dl"), F.inline(term_counts(F.col("_t"))))
+    rows = chunks.select("chunk_id", *scope, tokens(F.col(text)).alias("_t")).select(
+        "chunk_id", *scope, F.size("_t").alias("dl"), term_counts(F.col("_t")).alias("_c"))
+    if by_chunk:
+        rows = rows.repartition("chunk_id")
+    words = rows.select("chunk_id", *scope, "dl", F.inline("_c"))
     if only is not None:
         words = guarded_join(words, only.select("term").distinct(), ["term"], "left_semi", spread=F.col("chunk_id"))
     return words
@@ -111,7 +120,7 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "page_content
         "raw", idf(F.col("n"), F.col("df"))).select(
         "query_id", "term", "qtf", "avgdl",
         F.when(F.col("raw") < 0, V.BM25_FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("weight"))
-    hits = guarded_join(postings(chunks, text), cut(mine, "query-terms"), ["term"], spread=F.col("chunk_id"))
+    hits = guarded_join(postings(chunks, text, by_chunk=True), cut(mine, "query-terms"), ["term"], spread=F.col("chunk_id"))
     part = F.col("qtf") * bm25(F.col("weight"), F.col("tf"), F.col("dl"), F.col("avgdl"))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
@@ -128,7 +137,7 @@ def scoped_bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "page_
     mine = cut(mine.select("query_id", "term", "qtf", "avgdl", "q_carrier", "q_lob", "weight"), "query-terms")
     inside = (F.col("q_carrier").isNull() | (F.col("q_carrier") == F.col("carrier"))) & (
         F.col("q_lob").isNull() | (F.col("q_lob") == F.col("line_of_business")))
-    hits = guarded_join(postings(chunks, text), mine, ["term"], condition=inside, spread=F.col("chunk_id"))
+    hits = guarded_join(postings(chunks, text, by_chunk=True), mine, ["term"], condition=inside, spread=F.col("chunk_id"))
     part = F.col("qtf") * bm25(F.col("weight"), F.col("tf"), F.col("dl"), F.col("avgdl"))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 

@@ -101,13 +101,13 @@ def c13(spark, sf):
                      X.line_count(F.col("clean")).alias("lines_after"))
 
 
-@query("c14_markdown_table", r"""SELECT conv_id, concat('| turn | role | text |', chr(10), '| --- | --- | --- |', chr(10),
+@query("c14_markdown_table", r"""SELECT conv_id, turn // 50 AS part, concat('| turn | role | text |', chr(10), '| --- | --- | --- |', chr(10),
   string_agg(concat('| ', turn, ' | ', role, ' | ', trim(replace(text, chr(10), ' ')), ' |'), chr(10) ORDER BY turn)) AS markdown
-FROM conversations GROUP BY conv_id""")
+FROM conversations GROUP BY conv_id, turn // 50""")
 def c14(spark, sf):
-    # a conversation has a handful of turns
+    # one table per fifty turns, so a table's rows are bounded however long the conversation
     cells = F.array(F.col("turn").cast("string"), F.col("role"), F.col("text"))
-    per = table(spark, sf, "conversations").groupBy("conv_id").agg(
+    per = table(spark, sf, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 50).alias("part")).agg(
         F.sort_array(F.collect_list(F.struct("turn", cells.alias("cells")))).alias("r"))
     header = F.array(F.lit("turn"), F.lit("role"), F.lit("text"))
-    return per.select("conv_id", X.markdown_table(header, F.col("r.cells")).alias("markdown"))
+    return per.select("conv_id", "part", X.markdown_table(header, F.col("r.cells")).alias("markdown"))

@@ -178,7 +178,7 @@ def e10(spark, sf):
     return E.citations(answers(spark, sf))
 
 
-CORRECT = f"""{CITED}, ok AS (SELECT ci.query_id, citation_no, coalesce(bool_or(doc_type = 'unknown' OR contains(lower(filename), doc_type) OR contains(lower(carrier), doc_type)), FALSE) AS ok
+CORRECT = f"""{CITED}, ok AS (SELECT ci.query_id, citation_no, coalesce(bool_or(re.query_id IS NOT NULL AND (doc_type = 'unknown' OR contains(lower(filename), doc_type) OR contains(lower(carrier), doc_type))), FALSE) AS ok
   FROM ci LEFT JOIN re ON re.query_id = ci.query_id AND re.page_number = ci.page GROUP BY 1, 2),
 cc AS (SELECT query_id, coalesce(n, 0) AS citations_found, coalesce(c, 1.0) AS citation_correctness FROM aw LEFT JOIN (SELECT query_id, count(*) AS n, avg(CAST(ok AS DOUBLE)) AS c FROM ok GROUP BY 1) USING (query_id))"""
 

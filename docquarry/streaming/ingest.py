@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docquarry import fixed as V
-from docquarry.functions.joins import keep_first
+from docquarry.functions.joins import guarded_join, keep_first
 from docquarry.functions.text import clean_text, fingerprint, strip
 from docquarry.operators.chunks import token_windows
+from docquarry.session import cut
 
 CHUNKS = "document_id string, local_index int, text_hash string, text string"
 STATUS = "document_id string, status string, error_message string"
@@ -42,11 +43,13 @@ def start_ingest(
     already are not added again."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        firsts = keep_first(chunk(batch), ["text_hash"], ["document_id", "local_index"]).select(
-            "document_id", "local_index", "text_hash", "text")
+        columns = [c.split()[0] for c in CHUNKS.split(", ")]
+        firsts = cut(keep_first(chunk(batch), ["text_hash"], ["document_id", "local_index"]).select(columns), "batch")
         stored = read_chunks(spark, table).filter(F.col("batch") != batch_id).select("text_hash")
-        firsts.join(stored, "text_hash", "left_anti").select(*[c.split()[0] for c in CHUNKS.split(", ")]).write.mode(
-            "overwrite").parquet(f"{table}/chunks/batch={batch_id}")
+        # a batch is small against what is stored: its hashes go to the stored ones
+        known = guarded_join(stored, firsts.select("text_hash"), ["text_hash"], "left_semi")
+        firsts.join(known, "text_hash", "left_anti").select(columns).write.mode("overwrite").parquet(
+            f"{table}/chunks/batch={batch_id}")
         batch_status(batch).write.mode("overwrite").parquet(f"{table}/status/batch={batch_id}")
 
     return arriving.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
