@@ -2,12 +2,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry import fixed as V
@@ -31,6 +32,19 @@ def term_counts(words: Column) -> Column:
     return let(F.sort_array(words), runs)
 
 
+def chunk_terms(chunks: DataFrame, text: str = "page_content") -> DataFrame:
+    """One row per chunk: its length and its (term, tf) pairs."""
+    scope = [c for c in SCOPE if c in chunks.columns]
+    return chunks.select("chunk_id", *scope, tokens(F.col(text)).alias("_t")).select(
+        "chunk_id", *scope, F.size("_t").alias("dl"), term_counts(F.col("_t")).alias("terms"))
+
+
+def _open_terms(rows: DataFrame, by_chunk: bool) -> DataFrame:
+    if by_chunk:
+        rows = rows.repartition("chunk_id")
+    return rows.select(*[c for c in rows.columns if c != "terms"], F.inline("terms"))
+
+
 def postings(chunks: DataFrame, text: str = "page_content", only: DataFrame | None = None, by_chunk: bool = False) -> DataFrame:
     """(chunk_id, [scope], term, tf, dl), without a shuffle. ``only`` (a table
     of terms) leaves out the terms that nobody asks for.
@@ -40,12 +54,7 @@ def postings(chunks: DataFrame, text: str = "page_content", only: DataFrame | No
     best per query: what is shuffled is one row per chunk and a few rows per
     query and task, not one row per pair of a query and a chunk.
     """
-    scope = [c for c in SCOPE if c in chunks.columns]
-    rows = chunks.select("chunk_id", *scope, tokens(F.col(text)).alias("_t")).select(
-        "chunk_id", *scope, F.size("_t").alias("dl"), term_counts(F.col("_t")).alias("_c"))
-    if by_chunk:
-        rows = rows.repartition("chunk_id")
-    words = rows.select("chunk_id", *scope, "dl", F.inline("_c"))
+    words = _open_terms(chunk_terms(chunks, text), by_chunk)
     if only is not None:
         words = guarded_join(words, only.select("term").distinct(), ["term"], "left_semi", spread=F.col("chunk_id"))
     return words
@@ -100,6 +109,29 @@ def scoped_idf(chunks: DataFrame, text: str = "page_content") -> tuple[DataFrame
     return raw, corpus.join(mean, "scope")
 
 
+@dataclass(frozen=True)
+class KeywordIndex:
+    """What keyword search reads: terms per chunk, weights per (scope, term),
+    totals per scope. Built once per corpus and stored."""
+
+    chunks: DataFrame
+    weights: DataFrame
+    corpus: DataFrame
+
+
+def build_index(chunks: DataFrame, text: str = "page_content") -> KeywordIndex:
+    return KeywordIndex(chunk_terms(chunks, text), *scoped_idf(chunks, text))
+
+
+def write_index(index: KeywordIndex, path: str) -> None:
+    for name in ("chunks", "weights", "corpus"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_index(spark: SparkSession, path: str) -> KeywordIndex:
+    return KeywordIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("chunks", "weights", "corpus")])
+
+
 def query_terms(queries: DataFrame, text: str = "search_query") -> DataFrame:
     """Terms of each query with their number; a repeated word counts again."""
     return queries.select("query_id", F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(
@@ -125,11 +157,11 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "page_content
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
-def scoped_bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "page_content", query_text: str = "search_query") -> DataFrame:
+def scoped_bm25_scores(index: KeywordIndex, queries: DataFrame, query_text: str = "search_query") -> DataFrame:
     """Scores with the statistics of each query's own scope. ``queries`` has
     carrier and line_of_business (null: any)."""
     terms = query_terms(queries, query_text)
-    raw, corpus = scoped_idf(chunks, text)
+    raw, corpus = index.weights, index.corpus
     asked = terms.join(queries.select("query_id", scope_key().alias("scope"), F.col("carrier").alias("q_carrier"),
                                       F.col("line_of_business").alias("q_lob")), "query_id")
     mine = asked.join(raw, ["scope", "term"]).join(corpus, "scope").withColumn(
@@ -137,7 +169,7 @@ def scoped_bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "page_
     mine = cut(mine.select("query_id", "term", "qtf", "avgdl", "q_carrier", "q_lob", "weight"), "query-terms")
     inside = (F.col("q_carrier").isNull() | (F.col("q_carrier") == F.col("carrier"))) & (
         F.col("q_lob").isNull() | (F.col("q_lob") == F.col("line_of_business")))
-    hits = guarded_join(postings(chunks, text, by_chunk=True), mine, ["term"], condition=inside, spread=F.col("chunk_id"))
+    hits = guarded_join(_open_terms(index.chunks, True), mine, ["term"], condition=inside, spread=F.col("chunk_id"))
     part = F.col("qtf") * bm25(F.col("weight"), F.col("tf"), F.col("dl"), F.col("avgdl"))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 

@@ -10,7 +10,7 @@ from docquarry import fixed as V
 from docquarry.functions.joins import is_small
 from docquarry.functions.similarity import fuzzy_carrier, fuzzy_lob
 from docquarry.functions.text import any_of, contains_any, let, rx, tokens
-from docquarry.operators.index import SCOPE, SCOPES, nearest, scoped_bm25_scores, top_k
+from docquarry.operators.index import SCOPE, SCOPES, KeywordIndex, build_index, nearest, scoped_bm25_scores, top_k
 from docquarry.session import cut
 
 
@@ -279,16 +279,17 @@ def pack_context(selected: DataFrame, budget: int = V.TOKEN_BUDGET) -> DataFrame
 # --- the whole search ----------------------------------------------------------------
 def search(
     chunks: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig(),
-    logit: Column | None = None, embedding: str = "embedding",
+    logit: Column | None = None, embedding: str = "embedding", index: KeywordIndex | None = None,
 ) -> DataFrame:
     """Queries (query_id, query, embedding) to ranked context rows. ``chunks``
-    carries its vector in ``embedding`` (null: keyword search only)."""
+    carries its vector in ``embedding`` (null: keyword search only). A stored
+    ``index`` saves building one."""
     few = is_small(queries.select("query_id", "query"), 10_000)
     vectors = chunks.filter(F.col(embedding).isNotNull()).select("chunk_id", *SCOPE, F.col(embedding).alias("embedding"))
     scoped = open_empty_scopes(detect_scope(queries, config), vectors)
     scoped = cut(scoped, "queries")
     dense = nearest(vectors, scoped, V.TOP_DENSE)
-    sparse = sparse_candidates(scoped_bm25_scores(chunks, scoped))
+    sparse = sparse_candidates(scoped_bm25_scores(index or build_index(chunks), scoped))
     fused = fuse(dense, sparse).join(scoped.select("query_id", "query", "is_admin", "is_comparison"), "query_id")
     need = ["chunk_id", "page_content", "filename", "document_id", "document_priority", "carrier",
             "page_number", "previous_chunk_id", "next_chunk_id"]

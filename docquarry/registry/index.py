@@ -75,7 +75,7 @@ ssc AS (SELECT qt.query_id, po.chunk_id, sum({PART}) AS score FROM qt JOIN qd US
 @query("x04_bm25_scoped_scores", f"WITH {CHUNKS}, {DETECTED}, {SCOPED_SCORES} SELECT query_id, chunk_id, round(score, 6) AS score FROM ssc")
 def x04s(spark, sf):
     scoped = R.detect_scope(questions(spark, sf), CONFIG)
-    return X.scoped_bm25_scores(stored_chunks(spark, sf), scoped).withColumn("score", F.round("score", 6))
+    return X.scoped_bm25_scores(X.build_index(stored_chunks(spark, sf)), scoped).withColumn("score", F.round("score", 6))
 
 
 @query("x05_hashed_vectors")

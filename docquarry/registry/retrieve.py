@@ -79,7 +79,7 @@ SPARSE = """sr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY quer
 
 @query("r08_sparse_top", f"WITH {CHUNKS}, {DETECTED}, {SCOPED_SCORES}, {SPARSE.format(s='ssc')} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM sr")
 def r08(spark, sf):
-    scores = X.scoped_bm25_scores(stored_chunks(spark, sf), detected(spark, sf))
+    scores = X.scoped_bm25_scores(X.build_index(stored_chunks(spark, sf)), detected(spark, sf))
     return R.sparse_candidates(scores).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -98,7 +98,7 @@ pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id {FO})
 
 def fused(spark, sf, c=None):
     c, q = c or stored_chunks(spark, sf, vectors=True), detected(spark, sf, vectors=True)
-    return R.fuse(X.nearest(c.filter("embedding IS NOT NULL"), q), R.sparse_candidates(X.scoped_bm25_scores(c.drop("embedding"), q)))
+    return R.fuse(X.nearest(c.filter("embedding IS NOT NULL"), q), R.sparse_candidates(X.scoped_bm25_scores(X.build_index(c), q)))
 
 
 def pool(spark, sf, c=None):
