@@ -277,6 +277,10 @@ def pack_context(selected: DataFrame, budget: int = V.TOKEN_BUDGET) -> DataFrame
 
 
 # --- the whole search ----------------------------------------------------------------
+# up to here the candidates (ids and ranks, at most 50 per query) are sent to all tasks
+FEW_QUERIES = 2_000
+
+
 def search(
     chunks: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig(),
     logit: Column | None = None, embedding: str = "embedding", index: KeywordIndex | None = None,
@@ -284,16 +288,17 @@ def search(
     """Queries (query_id, query, embedding) to ranked context rows. ``chunks``
     carries its vector in ``embedding`` (null: keyword search only). A stored
     ``index`` saves building one."""
-    few = is_small(queries.select("query_id", "query"), 10_000)
+    few = is_small(queries.select("query_id", "query"), FEW_QUERIES)
     vectors = chunks.filter(F.col(embedding).isNotNull()).select("chunk_id", *SCOPE, F.col(embedding).alias("embedding"))
     scoped = open_empty_scopes(detect_scope(queries, config), vectors)
     scoped = cut(scoped, "queries")
     dense = nearest(vectors, scoped, V.TOP_DENSE)
     sparse = sparse_candidates(scoped_bm25_scores(index or build_index(chunks), scoped))
-    fused = fuse(dense, sparse).join(scoped.select("query_id", "query", "is_admin", "is_comparison"), "query_id")
+    fused = fuse(dense, sparse)
     need = ["chunk_id", "page_content", "filename", "document_id", "document_priority", "carrier",
             "page_number", "previous_chunk_id", "next_chunk_id"]
-    pool = balanced_pool(fetch(chunks.select(*need), fused, few))
+    about = scoped.select("query_id", "query", "is_admin", "is_comparison")
+    pool = balanced_pool(fetch(chunks.select(*need), fused, few).join(about, "query_id"))
     chosen = diversify(confidence_tier(score_candidates(pool, config, logit), config.confidence), config.max_per_document)
     chosen = cut(chosen, "selected")  # five rows per query; read by the two look-ups below
     return pack_context(with_siblings(stitch(chosen, chunks, few), chunks, few), config.token_budget)

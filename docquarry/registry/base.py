@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.functions.joins import is_small
+from docquarry.operators.retrieve import FEW_QUERIES
 from docquarry.session import cut, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,12 +28,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-TEXTS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
+TEXTS = ("documents", "pages", "conversations", "embeddings")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df, TEXTS[name]) if name in TEXTS else df
+    return spread(df) if name in TEXTS else df
 
 
 def lit(s: str) -> str:
@@ -198,6 +200,11 @@ wc AS (SELECT doc_id, {FILE} AS filename, upper(source) AS carrier, lang AS line
   CASE WHEN i < nw - 1 THEN concat(doc_id, '_', i + 1) END AS next_chunk_id FROM wc0)"""
 
 
+def few_questions(spark, sf) -> bool:
+    """may a few dozen rows per question be sent to all tasks?"""
+    return is_small(questions(spark, sf), FEW_QUERIES)
+
+
 def questions(spark, sf, vectors: bool = False) -> DataFrame:
     df = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.expr(QUERY).alias("query"))
     if vectors:

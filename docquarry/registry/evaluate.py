@@ -7,7 +7,7 @@ from docquarry.operators import evaluate as E
 from docquarry.operators import index as X
 from docquarry.operators import retrieve as R
 from docquarry.registry.answers import RESULTS, results
-from docquarry.registry.base import CHUNKS, lit, query, questions, sql_any, sql_list, stored_chunks, table
+from docquarry.registry.base import CHUNKS, few_questions, lit, query, questions, sql_any, sql_list, stored_chunks, table
 from docquarry.registry.chunks import CHUNK_TABLE, ENRICHED, TYPE, built
 from docquarry.registry.index import DOT, GLOBAL, TOK
 from docquarry.registry.retrieve import PAIRS, SPARSE, VECTORS, detected, pairs
@@ -261,7 +261,7 @@ def subquery_fusion(spark, sf, c=None):
     near = X.nearest(c.filter("embedding IS NOT NULL").drop("carrier", "line_of_business"), q).withColumn("sub_no", F.lit(1))
     lists = words.select("query_id", "sub_no", "chunk_id", "rank").unionByName(near.select("query_id", "sub_no", "chunk_id", "rank"))
     of = detected(spark, sf).select("query_id", F.col("carrier").alias("policy"))
-    routed = R.fetch(c.select("chunk_id", "carrier"), lists, True).join(of, "query_id").withColumn(
+    routed = R.fetch(c.select("chunk_id", "carrier"), lists, few_questions(spark, sf)).join(of, "query_id").withColumn(
         "routed", F.coalesce(F.col("policy") == F.col("carrier"), F.lit(False)))
     return E.fuse_subqueries(routed)
 
@@ -284,7 +284,7 @@ gs AS (SELECT a * 0.05 AS w1, b * 0.05 AS w2, c * 0.05 AS w3, d * 0.05 AS w4, ro
 def candidate_features(spark, sf):
     q = detected(spark, sf).select("query_id", "query", F.col("carrier").alias("policy"))
     c = stored_chunks(spark, sf, vectors=True)
-    df = R.fetch(c.drop("embedding"), subquery_fusion(spark, sf, c), True).join(q, "query_id")
+    df = R.fetch(c.drop("embedding"), subquery_fusion(spark, sf, c), few_questions(spark, sf)).join(q, "query_id")
     ask = F.array_distinct(X.tokens(F.col("query")))
     both = F.size(F.array_intersect(ask, X.tokens(F.col("page_content"))))
     placed = X.top_k(features(df).withColumn("hit", both * 2 >= F.size(ask)), 1000, [F.desc("rrf"), F.col("chunk_id")], name="position")

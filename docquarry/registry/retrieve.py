@@ -5,7 +5,7 @@ from docquarry import fixed as V
 from docquarry.functions import similarity as Y
 from docquarry.operators import index as X
 from docquarry.operators import retrieve as R
-from docquarry.registry.base import CARRIERS, CHUNKS, LOBS, chunks, lit, query, questions, sql_any, stored_chunks, table
+from docquarry.registry.base import CARRIERS, CHUNKS, LOBS, chunks, few_questions, lit, query, questions, sql_any, stored_chunks, table
 from docquarry.registry.index import CONFIG, DETECTED, DOT, SCOPED_SCORES, TOK
 from docquarry.session import cut
 
@@ -103,7 +103,7 @@ def fused(spark, sf, c=None):
 
 def pool(spark, sf, c=None):
     c = c or stored_chunks(spark, sf, vectors=True)
-    df = R.fetch(c.drop("line_of_business", "embedding"), fused(spark, sf, c), True)
+    df = R.fetch(c.drop("line_of_business", "embedding"), fused(spark, sf, c), few_questions(spark, sf))
     return R.balanced_pool(df.join(detected(spark, sf).select("query_id", "query", "is_admin", "is_comparison"), "query_id"))
 
 
@@ -189,7 +189,7 @@ def r19(spark, sf):
 @query("r20_neighbour_stitching", f"WITH {STITCHED} SELECT query_id, chunk_id, position, text FROM sx")
 def r20(spark, sf):
     c = stored_chunks(spark, sf, vectors=True)
-    return R.stitch(chosen(spark, sf, c), c, True).select("query_id", "chunk_id", "position", "text")
+    return R.stitch(chosen(spark, sf, c), c, few_questions(spark, sf)).select("query_id", "chunk_id", "position", "text")
 
 
 SIB = """sib AS (SELECT filename, page_number - 1 AS page_number, arg_max(chunk_id, chunk_index) AS sid, arg_max(page_content, chunk_index) AS stext FROM wc GROUP BY 1, 2),
@@ -209,7 +209,8 @@ ctx AS (SELECT query_id, i AS rank, f.ids[i] AS chunk_id, f.sibs[i] AS is_siblin
 
 def context(spark, sf, budget=V.TOKEN_BUDGET):
     c = stored_chunks(spark, sf, vectors=True)
-    return R.pack_context(R.with_siblings(R.stitch(chosen(spark, sf, c), c, True), c, True), budget)
+    few = few_questions(spark, sf)
+    return R.pack_context(R.with_siblings(R.stitch(chosen(spark, sf, c), c, few), c, few), budget)
 
 
 @query("r21_token_budget", f"WITH {CONTEXT(700)} SELECT query_id, rank, chunk_id FROM ctx")

@@ -9,9 +9,8 @@ from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.load()
-SOME = ("s05_markdown_pages", "s07_keyed_upsert", "d02_near_dedup_first_page", "d05_folder_metadata", "c13_clean_pages", "t10_block_page_range",
-        "k10_links_and_index", "x04_bm25_scoped_scores", "x06_vector_knn", "r23_result_rows", "g04_reference_list", "e06_failure_clusters",
-        "e15_best_weights", "q03_corpus_report", "a09_transcript", "st2_quality_monitor")
+SOME = ("s05_markdown_pages", "d02_near_dedup_first_page", "d05_folder_metadata", "c13_clean_pages", "t10_block_page_range", "k10_links_and_index",
+        "r23_result_rows", "g04_reference_list", "e06_failure_clusters", "q03_corpus_report", "a09_transcript", "st2_quality_monitor")
 
 
 @pytest.fixture(scope="module")
