@@ -6,19 +6,16 @@ from docquarry.functions import text as X
 from docquarry.registry.base import (NOISY, NOISY_LINES, lit, noisy, noisy_lines, query, sql_collapse,
                                      sql_list, sql_rx, table)
 
-LINE = F.col("line")
-
-
 def lines_where(name, drop, sql_drop):
     @query(name, f"WITH {NOISY_LINES} SELECT doc_id, n, line FROM nl WHERE NOT ({sql_drop})")
     def run(spark, sf):
-        return noisy_lines(spark, sf).filter(~drop(LINE))
+        return noisy_lines(spark, sf).filter(~drop(F.col("line")))
 
 
 def lines_to(name, change, sql):
     @query(name, f"WITH {NOISY_LINES} SELECT doc_id, n, {sql} AS line FROM nl")
     def run(spark, sf):
-        return noisy_lines(spark, sf).withColumn("line", change(LINE))
+        return noisy_lines(spark, sf).withColumn("line", change(F.col("line")))
 
 
 @query("c01_line_explode", f"WITH {NOISY_LINES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS line_no, line FROM nl")

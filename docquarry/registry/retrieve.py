@@ -9,22 +9,19 @@ from docquarry.registry.base import CARRIERS, CHUNKS, LOBS, chunks, few_question
 from docquarry.registry.index import CONFIG, DETECTED, DOT, SCOPED_SCORES, TOK
 from docquarry.session import cut
 
-Q = F.col("query")
-
-
 def detected(spark, sf, vectors=False):
     return R.detect_scope(questions(spark, sf, vectors), CONFIG)
 
 
 @query("r01_carrier_detection", f"WITH {DETECTED} SELECT query_id, carrier, is_comparison FROM qd")
 def r01(spark, sf):
-    return questions(spark, sf).select("query_id", R.detect_carrier(Q, CARRIERS).alias("carrier"), R.is_comparison(Q, CARRIERS).alias("is_comparison"))
+    return questions(spark, sf).select("query_id", R.detect_carrier(F.col("query"), CARRIERS).alias("carrier"), R.is_comparison(F.col("query"), CARRIERS).alias("is_comparison"))
 
 
 @query("r02_lob_detection", f"WITH {DETECTED}, x AS (SELECT query_id, query FROM qs) SELECT query_id, {'CASE '}" + " ".join(
     "WHEN regexp_matches(lower(query), '(^|[^\\p{L}\\p{N}_])(" + "|".join(k) + ")($|[^\\p{L}\\p{N}_])') THEN " + lit(n) for n, k in LOBS) + " END AS line_of_business FROM x")
 def r02(spark, sf):
-    return questions(spark, sf).select("query_id", R.detect_lob(Q, LOBS).alias("line_of_business"))
+    return questions(spark, sf).select("query_id", R.detect_lob(F.col("query"), LOBS).alias("line_of_business"))
 
 
 def messages(spark, sf):
@@ -150,14 +147,13 @@ def feature(name, column, value, sql):
         return pairs(spark, sf).select("chunk_id", F.round(value(), 6).alias(column))
 
 
-TEXT = F.col("page_content")
-feature("r12_semantic_score", "semantic_score", lambda: R.sigmoid(R.lexical_logit(Q, TEXT)), SEMANTIC)
+feature("r12_semantic_score", "semantic_score", lambda: R.sigmoid(R.lexical_logit(F.col("query"), F.col("page_content"))), SEMANTIC)
 feature("r13_authority", "authority", lambda: R.authority(F.col("document_priority")), AUTHORITY)
-feature("r14_numeric_density", "numeric_density", lambda: R.numeric_density(TEXT), NUMERIC)
-feature("r15_weighted_blend", "blended", lambda: R.blend(R.sigmoid(R.lexical_logit(Q, TEXT)), R.authority(F.col("document_priority")), R.numeric_density(TEXT)), BLEND)
-feature("r16_procedural_boost", "boost", lambda: R.procedural_boost(F.col("is_admin"), F.concat(TEXT, F.when(F.col("page_number") == 2, " Claim Form").otherwise(""))),
+feature("r14_numeric_density", "numeric_density", lambda: R.numeric_density(F.col("page_content")), NUMERIC)
+feature("r15_weighted_blend", "blended", lambda: R.blend(R.sigmoid(R.lexical_logit(F.col("query"), F.col("page_content"))), R.authority(F.col("document_priority")), R.numeric_density(F.col("page_content"))), BLEND)
+feature("r16_procedural_boost", "boost", lambda: R.procedural_boost(F.col("is_admin"), F.concat(F.col("page_content"), F.when(F.col("page_number") == 2, " Claim Form").otherwise(""))),
         PROCEDURAL.replace("lower(page_content)", "lower(concat(page_content, CASE WHEN page_number = 2 THEN ' Claim Form' ELSE '' END))"))
-feature("r17_product_boost", "boost", lambda: R.product_boost(Q, F.col("filename")), PRODUCT)
+feature("r17_product_boost", "boost", lambda: R.product_boost(F.col("query"), F.col("filename")), PRODUCT)
 
 SCORED = f"{SEARCH}, {POOL}, scd AS (SELECT *, {SEMANTIC} AS semantic_score, {BLEND} + {PROCEDURAL} + {PRODUCT} AS score FROM pool)"
 TIERED = f"""{SCORED}, ti AS (SELECT *, CASE WHEN top >= 0.7 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence_tier FROM (
