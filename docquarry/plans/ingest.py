@@ -14,6 +14,7 @@ from docquarry.operators import documents as D
 from docquarry.operators import index as X
 from docquarry.operators.chunks import build_chunks, index_chunks
 from docquarry.operators.sections import parse_pages
+from docquarry.session import temporary_stages
 from docquarry.sources.tables import inspector_rows, write_report
 
 
@@ -44,7 +45,13 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def ingest(pages: DataFrame, out: str, config: IngestConfig = IngestConfig()) -> None:
     """Writes ``documents``, ``chunks`` (all), ``catalog`` (distinct texts),
-    ``keyword_index`` and ``reports`` below ``out``."""
+    ``keyword_index`` and ``reports`` below ``out``. Intermediate stages are
+    deleted at the end."""
+    with temporary_stages(pages.sparkSession):
+        _ingest(pages, out, config)
+
+
+def _ingest(pages: DataFrame, out: str, config: IngestConfig) -> None:
     spark = pages.sparkSession
     surviving_documents(pages, config).write.mode("overwrite").parquet(f"{out}/documents")
     documents = spark.read.parquet(f"{out}/documents")

@@ -1,10 +1,12 @@
+import os
+
 from pyspark.sql import functions as F
 
 from docquarry.operators import index as X
 from docquarry.operators.retrieve import SearchConfig
 from docquarry.plans.benchmark import run_benchmark
 from docquarry.plans.ingest import ingest, read_chunks
-from docquarry.session import fresh_path
+from docquarry.session import fresh_path, shared_dir
 
 WORDING = ["SBI Saral Suraksha\n1 Coverage\n1.1 Base Covers\nOn death of the insured person 100% of the sum insured is payable to the nominee.\n"
            "the loan protec-\ntion cover is an option of this plan.\n- education grant of 10%", "2 Exclusions\nSuicide within 12 months is not covered.\nPage 2"]
@@ -18,7 +20,9 @@ def test_documents_to_answers(spark):
     rows += [("SBI/Scan/scan.txt", 1, " ", "Glossary of the scanned page with enough text. It means something.")]
     pages = spark.createDataFrame(rows, "relative_path string, page int, text string, alt_text string")
     out = fresh_path(spark, "corpus")
+    before = set(os.listdir(shared_dir(spark)))
     ingest(pages, out)
+    assert set(os.listdir(shared_dir(spark))) - before == {os.path.basename(out)}  # no stage is left behind
     docs = {r["source"]: r for r in spark.read.parquet(f"{out}/documents").collect()}
     # of two files with one first page the first path stays
     assert set(docs) == {"home_brochure.txt", "z_copy.txt", "scan.txt"}
