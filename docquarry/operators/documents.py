@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docquarry import fixed as V
 from docquarry.functions.joins import keep_first
-from docquarry.functions.text import any_of, collapse, contains_any, fingerprint, rx, strip
+from docquarry.functions.text import any_of, contains_any, fingerprint, rx, strip
 
 
 # --- pages ------------------------------------------------------------------

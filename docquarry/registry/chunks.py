@@ -3,10 +3,9 @@ from pyspark.sql import functions as F
 
 from docquarry import fixed as V
 from docquarry.functions.scan import with_segments
-from docquarry.functions.text import collapse
 from docquarry.operators import chunks as K
 from docquarry.operators import sections as T
-from docquarry.registry.base import (CHUNKS, FILES, chunks, documents_meta, files, lit, pages, query, sql_any, sql_collapse, sql_list, sql_rx, table)
+from docquarry.registry.base import FILES, documents_meta, lit, pages, query, sql_any, sql_collapse, sql_rx, table
 from docquarry.registry.documents import NORMAL, PARTS, sql_types
 from docquarry.registry.sections import SECTIONS, atoms
 

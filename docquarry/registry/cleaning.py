@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from docquarry import fixed as V
 from docquarry.functions import text as X
-from docquarry.registry.base import (NOISY, NOISY_LINES, lit, noisy, noisy_lines, query, sql_collapse,
+from docquarry.registry.base import (NOISY_LINES, lit, noisy, noisy_lines, query, sql_collapse,
                                      sql_list, sql_rx, table)
 
 def lines_where(name, drop, sql_drop):

@@ -5,7 +5,7 @@ from docquarry import fixed as V
 from docquarry.operators import diagnostics as Q
 from docquarry.operators import sections as T
 from docquarry.operators.documents import distinct_chunks
-from docquarry.registry.base import CHUNKS, chunks, lit, pages, query, sql_collapse, table
+from docquarry.registry.base import CHUNKS, chunks, lit, query, sql_collapse, table
 from docquarry.registry.chunks import CHUNK_TABLE, built
 from docquarry.registry.sections import SECTIONS, atoms
 

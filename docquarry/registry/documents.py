@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from docquarry import fixed as V
 from docquarry.operators import documents as D
-from docquarry.registry.base import (CHUNKS, FILES, chunks, files, lit, query, sql_any, sql_collapse, sql_list, sql_rx, table)
+from docquarry.registry.base import (CHUNKS, FILES, chunks, files, lit, query, sql_any, sql_collapse, table)
 
 # short first lines are the low-text pages, the whole text is the alternate
 LOW = """low AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '  ' WHEN doc_id % 3 = 1 THEN substr(text, 1, 12) ELSE text END AS text,

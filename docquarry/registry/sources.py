@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.registry.base import CHUNKS, FILES, QUESTIONS, chunks, files, lit, query, questions, sql_collapse, table
+from docquarry.registry.base import CHUNKS, FILES, QUESTIONS, chunks, files, lit, query, questions, table
 from docquarry.session import fresh_path
 from docquarry.sources import files as S
 from docquarry.sources import tables as B
