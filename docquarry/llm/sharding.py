@@ -10,7 +10,7 @@ from docquarry.llm.common import pick
 from docquarry.llm.registry import query
 from docquarry.session import cut, spread
 
-WEIGHTS = (4.0, 1.0, 1.0)  # of bytes, tokens and rows in the dot product
+WEIGHTS = (32.0, 2.0, 1.0)  # of bytes, tokens and rows in the dot product
 FINE = 256  # a group above this part of a shard is placed by the driver: at most 3 * shards * FINE groups
 CELL = 16_384  # smaller groups that one task call places, on average
 NUMBERED = 131_072  # rows that one task call numbers, on average
