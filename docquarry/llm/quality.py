@@ -19,8 +19,8 @@ from docquarry.session import cut, spread
 
 MAX_POSITIVES = 20_000  # labelled rows that the model is fitted on, and as many that estimate the prior
 THRESHOLD = 0.7
-ROUNDS = 12  # Newton steps of a fit; each reads the small table of statistics once
-RIDGE = 1e-4  # and 2 over the number of positives, where that is more
+ROUNDS = 14  # Newton steps of a fit; each reads the small table of statistics once
+FIRST_RIDGE, RIDGE = 0.3, 1e-4  # from step to step; the last is 1 over the number of positives, where that is more
 HALVINGS = 5
 _SHARES = (0.0, 0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.12, 0.2, 0.35, 0.6)
 
@@ -133,34 +133,33 @@ def fit(unlabelled: DataFrame, positive: np.ndarray, prior: float) -> Model:
     With positives p, unlabelled rows u and class prior c it is
     c E_p[l(g)] + max(0, E_u[l(-g)] - c E_p[l(-g)]). l(g) - l(-g) = -g, so while
     the second part is positive the risk is convex, with the curvature of the
-    unlabelled rows alone, and takes Newton steps. A step that makes that part
-    negative is corrected by halving it until the part is not negative any more:
-    there the risk is flat in what it would overfit."""
+    unlabelled rows alone, and takes Newton steps under a ridge that gets
+    weaker with each. A step that makes that part negative is corrected by halving it
+    until the part is not negative any more: beyond, the risk only fits noise."""
     x = one_hot(positive)
     mean = x.mean(0).astype(float)
     model = Model(prior=prior, positives=len(x))
     w = np.zeros(SIZE)
     w[-1] = np.log(prior / (1 - prior))
-    best, step = None, np.zeros(SIZE)
-    ridge, scale = max(RIDGE, 2 / len(x)), 1.0
+    best, step, scale, ridge = w, np.zeros(SIZE), 1.0, FIRST_RIDGE
     for _ in range(ROUNDS):
         n, soft, slope, curve = _sums(unlabelled, w)
         negative = soft - prior * float(np.logaddexp(0, x @ w).mean())
-        risk = prior * float(np.logaddexp(0, -(x @ w)).mean()) + max(0.0, negative) + ridge * float(w @ w) / 2
-        if best is not None and (negative < 0 or risk > best[0] + 1e-9):
-            model.corrected += negative < 0
+        if negative < 0:
+            model.corrected += 1
             scale /= 2
             if scale < 2.0 ** -HALVINGS:
                 break
-            w = best[1] + scale * step
+            w = best + scale * step
             continue
-        gained = np.inf if best is None else best[0] - risk
-        best, scale = (risk, w.copy()), 1.0
-        if gained < 1e-6:
-            break
+        best, scale = w, min(1.0, 2 * scale)
+        model.risk = prior * float(np.logaddexp(0, -(x @ w)).mean()) + negative
         step = -np.linalg.solve(curve + ridge * np.eye(SIZE), slope - prior * mean + ridge * w)
-        w = best[1] + step
-    model.weights, model.risk = best[1], best[0]
+        if np.abs(scale * step).max() < 1e-3:
+            break
+        w = best + scale * step
+        ridge = max(RIDGE, 1 / len(x), ridge / 3)
+    model.weights = best
     return model
 
 
