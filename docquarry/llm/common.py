@@ -84,3 +84,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     linked = down.join(least, "u")
     return linked.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
         linked.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a != b").distinct()
+
+
+BITS = 1 << 26  # of a filter that is sent to all tasks: 8 MB in 2,048 rows, whatever it is made from
+
+
+def maybe_in(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Rows of ``big`` whose 64-bit ``key`` may be in ``small``: all that are, and
+    few others while ``small`` has some million rows. For use before a join, so
+    that only such rows are shuffled; beyond that size it lets more rows pass."""
+    place = F.col(key).bitwiseAND(F.lit(BITS - 1))
+    sent = small.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("_part")).agg(
+        F.expr("bitmap_construct_agg(p & 32767)").alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, CAST(shiftright(_p & 32767, 3) + 1 AS INT), 1)")), 16, 10).cast("int")
+    marked = big.withColumn("_p", place).withColumn("_part", F.shiftright("_p", 15))
+    return marked.join(F.broadcast(sent), "_part").withColumn("_byte", byte).filter(
+        "shiftright(_byte, CAST(_p & 7 AS INT)) & 1 = 1").drop("_p", "_part", "_bits", "_byte")
+
+
+def release(df: DataFrame) -> None:
+    """Let Spark find that finished stages are not needed any more and delete
+    their shuffle files now, not at some later collection of the driver's garbage."""
+    df.sparkSession.sparkContext._jvm.System.gc()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_PARTS = ("token_counts", "quality", "simhash", "rules", "sharding", "html_text", "packing", "decontaminate")
+_PARTS = ("token_counts", "quality", "simhash", "rules", "sharding", "html_text", "packing", "line_dedup", "decontaminate")
 
 
 def query(name: str, sql: str | None = None):
