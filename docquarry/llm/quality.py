@@ -86,16 +86,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[:-1][STARTS[:-1] + binned].sum(1) + self.weights[-1], -30, 30)))
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, bins) of every row; null texts are empty."""
-    plain = pick(docs, id=id_col, text=text_col)
-    schema = T.StructType([plain.schema["id"], T.StructField("bins", T.BinaryType())])
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """(id, key, bins) of every row; null texts are empty. ``id`` may be any
+    column, a struct of all of them too; ``key`` finds the row's labels."""
+    plain = pick(docs, id=id_col, key=key_col or id_col, text=text_col)
+    schema = T.StructType([plain.schema["id"], plain.schema["key"], T.StructField("bins", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
                 found = bins(np.array([statistics(t) for t in texts(batch["text"])]).reshape(-1, len(STATISTICS)))
-                yield pa.record_batch([batch["id"], pa.array([r.tobytes() for r in found], pa.binary())], names=["id", "bins"])
+                yield pa.record_batch([batch["id"], batch["key"], pa.array([r.tobytes() for r in found], pa.binary())], names=schema.names)
 
     return plain.mapInArrow(run, schema)
 
@@ -199,15 +200,15 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(rows: DataFrame, labels: DataFrame, label_id_col: str = "doc_id", label_col: str = "quality", max_positives: int = MAX_POSITIVES) -> Model:
-    """Model from ``rows`` (id, bins), all of which are the unlabelled texts, and
-    the ids that ``labels`` trusts to be good and that are not held out.
+    """Model from ``rows`` (key, bins), all of which are the unlabelled texts, and
+    the keys that ``labels`` trusts to be good and that are not held out.
 
-    At most ``max_positives`` of these (the smallest hashes of their ids) fit the
+    At most ``max_positives`` of these (the smallest hashes of their keys) fit the
     weights and as many others estimate the class prior; everything else covers
-    all rows. Labels of an id that disagree are not trusted. Without positives
+    all rows. Labels of a key that disagree are not trusted. Without positives
     all weights are 0 and every score is 0.5."""
-    good = pick(labels, id=label_id_col, good=label_col).groupBy("id").agg(F.min("good").alias("good")).filter((F.col("good") == 1) & ~held_out(F.col("id")))
-    trusted = rows.join(good.select("id"), "id", "left_semi").withColumn("h", F.xxhash64(F.lit(1), "id"))
+    good = pick(labels, key=label_id_col, good=label_col).groupBy("key").agg(F.min("good").alias("good")).filter((F.col("good") == 1) & ~held_out(F.col("key")))
+    trusted = rows.select("key", "bins").join(good.select("key"), "key", "left_semi").withColumn("h", F.xxhash64(F.lit(1), "key"))
     parts = [_matrix(pa.array([bytes(r[0]) for r in trusted.filter(F.col("h") % 2 == k if k == 0 else F.col("h") % 2 != 0)
                                .orderBy("h", "bins").limit(max_positives).select("bins").collect()], pa.binary())) for k in (0, 1)]
     if not len(parts[0]) or not len(parts[1]):
@@ -218,23 +219,23 @@ def train(rows: DataFrame, labels: DataFrame, label_id_col: str = "doc_id", labe
 
 def quality_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality",
-    max_positives: int = MAX_POSITIVES,
+    max_positives: int = MAX_POSITIVES, key_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: id, held_out, score (0 to 1), predicted (1 from 0.7).
 
-    Scores depend on the text alone. Null and empty texts are scored as texts
+    Scores depend on the text alone; ``key_col`` (the id by default) finds the labels. Null and empty texts are scored as texts
     with 0 of everything; null ids count as not held out and have no label; repeated rows
     are kept and count as often as they stand; an empty table gives no rows."""
-    rows = cut(measured(docs, id_col, text_col), "quality_bins")
+    rows = cut(measured(docs, id_col, text_col, key_col), "quality_bins")
     model = train(rows, labels, label_id_col, label_col, max_positives)
-    schema = T.StructType([rows.schema["id"], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([rows.schema["id"], rows.schema["key"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch["id"], pa.array(model.scores(_matrix(batch["bins"])), pa.float64())], names=["id", "score"])
+            yield pa.record_batch([batch["id"], batch["key"], pa.array(model.scores(_matrix(batch["bins"])), pa.float64())], names=schema.names)
 
     scored = rows.mapInArrow(run, schema)
-    return scored.select("id", F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("id", F.coalesce(held_out(F.col("key")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 @query("op2_quality_classifier")
