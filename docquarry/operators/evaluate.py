@@ -75,16 +75,24 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def near_duplicates(results: DataFrame, above: float = V.DUPLICATE_JACCARD, max_results: int = 50) -> DataFrame:
-    """Pairs of a query's results with nearly the same words. A query has a few
-    results; they are compared inside one row. More than ``max_results`` is an
-    error rather than a quadratic blow-up."""
-    words = F.struct("rank", F.array_distinct(tokens(F.col("text"))).alias("w"))
-    per = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.sort_array(F.collect_list(words)).alias("_r"))
-    pairs = F.aggregate("_r", F.lit(0), lambda n, a: n + F.size(F.filter(
-        "_r", lambda b: (b.rank > a.rank) & (jaccard(a.w, b.w) > above))))
-    guard = F.when(F.col("results") > max_results, F.raise_error(F.lit("too many results per query"))).otherwise(pairs)
-    return per.select("query_id", "results", guard.cast("int").alias("duplicate_pairs"))
+def near_duplicates(results: DataFrame, above: float = V.DUPLICATE_JACCARD) -> DataFrame:
+    """Number of pairs of a query's results with nearly the same words.
+
+    Words are ordered by their hash. Sets whose Jaccard is above the threshold
+    share one of the first words of both, as many as may be missing and one more,
+    so results meet by query and such a word, not each with each; sizes too far
+    apart are left out before the sets are compared. ``rank`` is unique within
+    a query; any number of results may belong to one."""
+    words = F.array_sort(F.transform(F.array_distinct(tokens(F.col("text"))), lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t"))))
+    sets = results.select("query_id", "rank", F.transform(words, lambda x: x.t).alias("w")).withColumn("n", F.size("w"))
+    heads = sets.filter("n > 0").withColumn("t", F.explode(F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") * above).cast("int") + 1)))
+    a, b = heads.select("query_id", "t", *[F.col(c).alias(f"{c}_a") for c in ("rank", "n", "w")]), heads.select(
+        "query_id", "t", *[F.col(c).alias(f"{c}_b") for c in ("rank", "n", "w")])
+    near = (F.col("rank_a") < F.col("rank_b")) & (F.least("n_a", "n_b") >= above * F.greatest("n_a", "n_b"))
+    met = a.join(b, ["query_id", "t"]).filter(near).filter(jaccard(F.col("w_a"), F.col("w_b")) > above)
+    pairs = met.select("query_id", "rank_a", "rank_b").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("_pairs"))
+    counts = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"))
+    return counts.join(pairs, "query_id", "left").select("query_id", "results", F.coalesce("_pairs", F.lit(0)).cast("int").alias("duplicate_pairs"))
 
 
 def duplicate_ratio(pairs: DataFrame) -> DataFrame:

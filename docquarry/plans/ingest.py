@@ -29,8 +29,8 @@ class IngestConfig:
 
 def surviving_documents(pages: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
     """Paths left after the duplicate rule, with ids and metadata. ``pages``:
-    relative_path, page, text, alt_text; page 1 decides."""
-    firsts = pages.filter("page = 1").select("relative_path", F.col("text").alias("first_page"))
+    relative_path, page, text, alt_text; the lowest page decides, whatever its number."""
+    firsts = pages.groupBy("relative_path").agg(F.min_by("text", "page").alias("first_page"))
     kept = D.distinct_first_pages(firsts, content="first_page", keep_blank=config.keep_blank_first_pages).select("relative_path")
     docs = D.folder_metadata(kept.select(
         "relative_path", D.document_id(F.col("relative_path")).alias("document_id"),

@@ -1,5 +1,5 @@
 """Context, history, references, tiers. Every document stands as a question
-whose results are its own first ten chunks."""
+whose results are all its own chunks."""
 from pyspark.sql import functions as F
 
 from docquarry import fixed as V
@@ -9,12 +9,12 @@ from docquarry.registry.base import CHUNKS, chunks, lit, query, table
 TIER = "CASE WHEN doc_id % 3 = 0 THEN 'MEDIUM' ELSE 'HIGH' END"
 RESULTS = f"""{CHUNKS}, re AS (SELECT doc_id AS query_id, page_number AS rank, chunk_id, page_content AS text, filename, page_number % 4 + 1 AS page_number, document_type,
   carrier, line_of_business, heading_path, {TIER} AS confidence_tier, 1.0 / (page_number + doc_id % 5) AS score FROM wc
-  WHERE page_number <= 10 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
 
 
 def results(spark, sf):
     bad = table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
-    return chunks(spark, sf).filter("page_number <= 10").join(bad, "doc_id", "left_anti").select(
+    return chunks(spark, sf).join(bad, "doc_id", "left_anti").select(
         F.col("doc_id").alias("query_id"), F.col("page_number").alias("rank"), "chunk_id", F.col("page_content").alias("text"), "filename",
         (F.col("page_number") % 4 + 1).alias("page_number"), "document_type", "carrier", "line_of_business", "heading_path",
         F.expr(TIER).alias("confidence_tier"), (1.0 / (F.col("page_number") + F.col("doc_id") % 5)).alias("score"))

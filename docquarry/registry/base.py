@@ -73,15 +73,17 @@ def files(spark, sf) -> DataFrame:
 FILES = f"files AS (SELECT *, {PATH} AS relative_path FROM documents)"
 
 # --- noisy lines (for cleaning) -----------------------------------------------------
+# a noisy line stands before the given one, or has all of it; nothing of the text is lost
 NOISE = """CASE (doc_id * 3 + {n}) % 19
-  WHEN 0 THEN 'Policy Wording' WHEN 1 THEN ' Record of Changes' WHEN 2 THEN '2/20/25 revised'
-  WHEN 3 THEN 'Page 12' WHEN 4 THEN '------' WHEN 5 THEN concat({x}, ' see https://example.com/a?b=1 now')
-  WHEN 6 THEN concat('• ', {x}) WHEN 7 THEN concat(substr({x}, 1, 20), '.......5')
-  WHEN 8 THEN concat('  ', replace(substr({x}, 1, 30), ' ', '   '), ' ')
-  WHEN 9 THEN concat('x', replace(substr({x}, 1, 25), '.', ''), 'con-')
-  WHEN 10 THEN '5-1-13 Waiting period terms 5-9' WHEN 11 THEN 'January 5, 2024 edition'
-  WHEN 12 THEN concat('“', substr({x}, 1, 40), '” ﬁne − don’t ﬄ') WHEN 13 THEN '   ' WHEN 14 THEN 'a . . . . . . b'
-  WHEN 15 THEN '- item one-' WHEN 16 THEN '5-1-13' WHEN 17 THEN '42' ELSE {x} END"""
+  WHEN 0 THEN concat('Policy Wording', chr(10), {x}) WHEN 1 THEN concat(' Record of Changes', chr(10), {x})
+  WHEN 2 THEN concat('2/20/25 revised', chr(10), {x}) WHEN 3 THEN concat('Page 12', chr(10), {x})
+  WHEN 4 THEN concat('------', chr(10), {x}) WHEN 5 THEN concat({x}, ' see https://example.com/a?b=1 now')
+  WHEN 6 THEN concat('• ', {x}) WHEN 7 THEN concat('Scope of cover.......5', chr(10), {x})
+  WHEN 8 THEN concat('  ', replace({x}, ' ', '   '), ' ')
+  WHEN 9 THEN concat('x', replace({x}, '.', ''), 'con-')
+  WHEN 10 THEN concat('5-1-13 Waiting period terms 5-9', chr(10), {x}) WHEN 11 THEN concat('January 5, 2024 edition', chr(10), {x})
+  WHEN 12 THEN concat('“', {x}, '” ﬁne − don’t ﬄ') WHEN 13 THEN concat('   ', chr(10), {x}) WHEN 14 THEN concat('a . . . . . . b', chr(10), {x})
+  WHEN 15 THEN concat('- item one-', chr(10), {x}) WHEN 16 THEN concat('5-1-13', chr(10), {x}) WHEN 17 THEN concat('42', chr(10), {x}) ELSE {x} END"""
 
 
 def noisy(spark, sf) -> DataFrame:
@@ -108,40 +110,42 @@ NOISY_LINES = f"""{NOISY}, nl AS (SELECT doc_id, n, trim(line) AS line FROM (
 # --- structured pages (for sections and chunks) ----------------------------------------
 BREAKS = """replace(text, CASE WHEN doc_id % 2 = 0 THEN '. ' ELSE ', ' END,
   CASE WHEN doc_id % 2 = 0 THEN concat('.', chr(10)) ELSE concat(',', chr(10)) END)"""
-SHAPE = """CASE WHEN doc_id % 7 = 5 THEN {x} WHEN doc_id % 7 = 3 THEN concat('- ', {x})
+# a structural line stands beside the given one, or has all of it; {L} makes a list
+SHAPE = """CASE WHEN doc_id % 7 = 5 THEN {L}({x}) WHEN doc_id % 7 = 3 THEN {L}(concat('- ', {x}))
   ELSE CASE (doc_id * 5 + {n}) % 17
-  WHEN 0 THEN concat('1.', {n} % 3 + 1, ' ', CASE {n} % 4 WHEN 0 THEN 'Benefits and Limits' WHEN 1 THEN 'Hospital Cover'
-    WHEN 2 THEN 'claims procedure' ELSE 'Definitions' END)
-  WHEN 1 THEN concat('- ', substr({x}, 1, 80))
-  WHEN 2 THEN concat('(a) ', substr({x}, 1, 40), ' 12% of Rs. 500 for 30 days')
-  WHEN 3 THEN '| Plan | Limit | Period |'
-  WHEN 4 THEN CASE WHEN doc_id % 2 = 0 THEN '| --- | --- | --- |' ELSE concat('| ', substr({x}, 1, 9), ' | ', {n}, ' |') END
-  WHEN 5 THEN concat('| ', substr({x}, 1, 8), ' | Rs. ', {n} * 100, ' | ', {n}, ' months |')
-  WHEN 6 THEN '3.2'
-  WHEN 7 THEN CASE WHEN doc_id % 3 = 1 THEN '| lone | row |' ELSE 'GENERAL EXCLUSIONS' END
-  WHEN 8 THEN concat('Scope of Cover ', {n})
-  WHEN 9 THEN '2.1.4.1'
-  WHEN 10 THEN concat({x}, ' see Section 4.2(a), Clause IV and section 4.2(a)')
-  WHEN 11 THEN 'A-12'
-  WHEN 12 THEN 'What is a waiting period?'
-  WHEN 13 THEN concat('"Hospital" means ', {x})
-  ELSE {x} END END"""
+  WHEN 0 THEN {L}(concat('1.', {n} % 3 + 1, ' ', CASE {n} % 4 WHEN 0 THEN 'Benefits and Limits' WHEN 1 THEN 'Hospital Cover'
+    WHEN 2 THEN 'claims procedure' ELSE 'Definitions' END), {x})
+  WHEN 1 THEN {L}(concat('- ', {x}))
+  WHEN 2 THEN {L}(concat('(a) ', {x}, ' 12% of Rs. 500 for 30 days'))
+  WHEN 3 THEN {L}({x}, '| Plan | Limit | Period |')
+  WHEN 4 THEN CASE WHEN doc_id % 2 = 0 THEN {L}('| --- | --- | --- |', concat('| ', {x}, ' | 7 | 1 month |'))
+    ELSE {L}(concat('| ', {x}, ' | ', {n}, ' |')) END
+  WHEN 5 THEN {L}(concat('| ', {x}, ' | Rs. ', {n} * 100, ' | ', {n}, ' months |'))
+  WHEN 6 THEN {L}({x}, '3.2')
+  WHEN 7 THEN {L}(CASE WHEN doc_id % 3 = 1 THEN '| lone | row |' ELSE 'GENERAL EXCLUSIONS' END, {x})
+  WHEN 8 THEN {L}(concat('Scope of Cover ', {n}), {x})
+  WHEN 9 THEN {L}({x}, '2.1.4.1')
+  WHEN 10 THEN {L}(concat({x}, ' see Section 4.2(a), Clause IV and section 4.2(a)'))
+  WHEN 11 THEN {L}({x}, 'A-12')
+  WHEN 12 THEN {L}('What is a waiting period?', {x})
+  WHEN 13 THEN {L}(concat('"Hospital" means ', {x}))
+  ELSE {L}({x}) END END"""
 LINES_PER_PAGE = 6
 
 
 def pages(spark, sf) -> DataFrame:
     """(document_id, page, text): six structured lines per page"""
-    shaped = f"transform(split({BREAKS}, chr(10)), (x, i) -> {SHAPE.format(x='x', n='(i + 1)')})"
+    shaped = f"flatten(transform(split({BREAKS}, chr(10)), (x, i) -> {SHAPE.format(x='x', n='(i + 1)', L='array')}))"
     df = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.expr(shaped).alias("l"))
     per = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / LINES_PER_PAGE).cast("int")),
                       lambda p: F.array_join(F.slice("l", p * LINES_PER_PAGE + 1, F.lit(LINES_PER_PAGE)), "\n"))
     return df.select("document_id", F.posexplode(per).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
-PAGE_LINES = f"""raw AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS n
-  FROM (SELECT doc_id, string_split({BREAKS}, chr(10)) AS l FROM documents)),
+PAGE_LINES = f"""raw AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM (
+  SELECT doc_id, flatten(list_transform(string_split({BREAKS}, chr(10)), lambda x, i: {SHAPE.format(x='x', n='i', L='list_value')})) AS l FROM documents)),
 tl AS (SELECT document_id, page, row_number() OVER (PARTITION BY document_id, page ORDER BY n) - 1 AS line_no, line FROM (
-  SELECT CAST(doc_id AS VARCHAR) AS document_id, (n - 1) // {LINES_PER_PAGE} + 1 AS page, n, trim({SHAPE.format(x='x', n='n')}) AS line FROM raw)
+  SELECT CAST(doc_id AS VARCHAR) AS document_id, (n - 1) // {LINES_PER_PAGE} + 1 AS page, n, trim(x) AS line FROM raw)
   WHERE line != '')"""
 
 

@@ -5,15 +5,14 @@ from docquarry import fixed as V
 from docquarry.operators import documents as D
 from docquarry.registry.base import (CHUNKS, FILES, chunks, files, lit, query, sql_any, sql_collapse, table)
 
-# short first lines are the low-text pages, the whole text is the alternate
-LOW = """low AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '  ' WHEN doc_id % 3 = 1 THEN substr(text, 1, 12) ELSE text END AS text,
-  CASE WHEN doc_id % 2 = 0 THEN text END AS alt_text FROM documents)"""
+# every document also has a blank page and a short one; the whole text is their alternate
+LOW = """low AS (SELECT doc_id, unnest([text, '  ', concat('short page ', doc_id)]) AS text, CASE WHEN doc_id % 2 = 0 THEN text END AS alt_text FROM documents)"""
 
 
 def low_pages(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.expr(
-        "CASE WHEN doc_id % 3 = 0 THEN '  ' WHEN doc_id % 3 = 1 THEN substr(text, 1, 12) ELSE text END").alias("text"),
-        F.expr("CASE WHEN doc_id % 2 = 0 THEN text END").alias("alt_text"))
+    more = F.array("text", F.lit("  "), F.concat(F.lit("short page "), F.col("doc_id")))
+    return table(spark, sf, "documents").select("doc_id", F.explode(more).alias("_t"), F.expr("CASE WHEN doc_id % 2 = 0 THEN text END").alias("alt_text")).select(
+        "doc_id", F.col("_t").alias("text"), "alt_text")
 
 
 @query("s03_low_text_repair", f"""WITH {LOW} SELECT doc_id, low_text, ocr_used, CASE WHEN ocr_used THEN alt_text ELSE text END AS text FROM (

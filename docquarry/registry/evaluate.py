@@ -1,4 +1,5 @@
 """Quality of results and answers; weights."""
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docquarry import fixed as V
@@ -287,8 +288,8 @@ def candidate_features(spark, sf):
     df = R.fetch(c.drop("embedding"), subquery_fusion(spark, sf, c), few_questions(spark, sf)).join(q, "query_id")
     ask = F.array_distinct(X.tokens(F.col("query")))
     both = F.size(F.array_intersect(ask, X.tokens(F.col("page_content"))))
-    placed = X.top_k(features(df).withColumn("hit", both * 2 >= F.size(ask)), 1000, [F.desc("rrf"), F.col("chunk_id")], name="position")
-    return placed
+    order = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "chunk_id")
+    return features(df).withColumn("hit", both * 2 >= F.size(ask)).withColumn("position", F.row_number().over(order))
 
 
 @query("e15_weight_grid", f"WITH {GRID} SELECT round(w1, 2) AS w1, round(w2, 2) AS w2, round(w3, 2) AS w3, round(w4, 2) AS w4, mrr FROM gs")
