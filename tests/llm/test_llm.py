@@ -354,10 +354,10 @@ def test_line_dedup(spark, odd):
 
 def test_line_dedup_odd(spark, odd):
     from docquarry.llm.line_dedup import dedup_lines
-    got = {(r.id, r.text, r.n_lines, tuple(r.removed)) for r in dedup_lines(odd).collect()}
+    got = {(r.id, r.text, tuple(r.removed)) for r in dedup_lines(odd).collect()}
     text = odd.filter("doc_id = 4").orderBy(F.length("text")).first().text
-    assert (1, None, 0, ()) in got and (2, "", 0, ()) in got and (3, "   \n\t\n ", 0, ()) in got
-    assert (None, text, 1, ()) in got and (4, "", 1, (0,)) in got and (5, "", 40, tuple(range(40))) in got
+    assert (1, None, ()) in got and (2, "", ()) in got and (3, "   \n\t\n ", ()) in got
+    assert (None, text, ()) in got and (4, "", (0,)) in got and (5, "", tuple(range(40))) in got
     assert dedup_lines(odd).count() == odd.count() and dedup_lines(odd.limit(0)).count() == 0
     twice = odd.filter("doc_id = 4 AND lang = 'en'")
     assert [r.text for r in dedup_lines(twice).collect()] == [text, text]  # rows equal in id and text are one document
