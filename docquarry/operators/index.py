@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry import fixed as V
-from docquarry.functions.joins import guarded_join, is_small
+from docquarry.functions.joins import guarded_join
 from docquarry.functions.text import let, tokens
 from docquarry.session import cut
 
@@ -192,7 +192,7 @@ def encode_with(df: DataFrame, text: str, make_encoder: Callable[[], Callable],
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make_encoder()
         for texts in batches:
-            v = np.asarray(encoder([prefix + t for t in texts]), dtype=np.float64)
+            v = np.asarray(encoder([prefix + (t or "") for t in texts]), dtype=np.float64)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
             yield pd.Series(list(v.astype(np.float32)))
     return df.withColumn("embedding", encode(F.col(text)))
@@ -213,7 +213,8 @@ def encode_hashed(chunks: DataFrame, queries: DataFrame, dim: int = 256, text: s
     return finish(prepared), finish(hashing.transform(queries.withColumn("_tokens", tokens(F.col(query_text)))))
 
 
-MAX_QUERY_VECTORS = 20_000
+MAX_QUERY_VECTORS = 10_000  # in a slice
+MAX_QUERY_BYTES = 64 << 20  # of a slice's vectors, as the tasks hold them
 KNN_SCHEMA = "query_id bigint, chunk_id string, score double"
 
 
@@ -231,6 +232,17 @@ def _local_top_k(queries: pd.DataFrame, k: int):
         keep = np.lexsort((rank, -s), axis=1)[:, :k]
         return np.take_along_axis(s, keep, 1), np.take_along_axis(names, keep, 1)
 
+    def first_k(s):
+        """As a stable sort by falling score would give them; only rows with ties at the cut are sorted whole."""
+        if s.shape[1] <= k:
+            return np.argsort(-s, axis=1, kind="stable")
+        some = np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k], axis=1)
+        own = np.take_along_axis(s, some, 1)
+        keep = np.take_along_axis(some, np.argsort(-own, axis=1, kind="stable"), 1)
+        tied = np.flatnonzero((s >= own.min(1, keepdims=True)).sum(1) > k)
+        keep[tied] = np.argsort(-s[tied], axis=1, kind="stable")[:, :k]
+        return keep
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top_s, top_c = np.full((len(ids), 0), -np.inf), np.empty((len(ids), 0), dtype=object)
         for pdf in batches:
@@ -241,7 +253,7 @@ def _local_top_k(queries: pd.DataFrame, k: int):
                     if len(scopes[c]):
                         mine = scopes[c].get_indexer(part[c])
                         s[(codes[c][:, None] >= 0) & (codes[c][:, None] != mine[None, :])] = -np.inf
-                keep = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                keep = first_k(s)
                 names = part["chunk_id"].to_numpy(dtype=object)[keep]
                 top_s, top_c = best(np.hstack([top_s, np.take_along_axis(s, keep, 1)]), np.hstack([top_c, names]))
         q, j = np.nonzero(np.isfinite(top_s))
@@ -250,10 +262,16 @@ def _local_top_k(queries: pd.DataFrame, k: int):
     return run
 
 
+def query_slices(rows: int, size: int, max_queries: int = MAX_QUERY_VECTORS, max_bytes: int = MAX_QUERY_BYTES) -> int:
+    """Slices in which neither bound is passed, with room for uneven hashing."""
+    fit = max(rows / max_queries, size / max_bytes)
+    return 1 if fit <= 1 else -(-int(fit * 1.25 * 1000) // 1000)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = V.TOP_DENSE, max_queries: int = MAX_QUERY_VECTORS) -> DataFrame:
-    """Exact nearest vectors by dot product inside each query's scope. A slice
-    of at most ``max_queries`` query vectors (size checked) goes to the tasks;
-    more queries make more slices, each one pass over the vectors."""
+    """Exact nearest vectors by dot product inside each query's scope. Slices of
+    the query vectors, bounded by their measured number and bytes, go to the
+    tasks; more or wider queries make more slices, each one pass over the vectors."""
     wanted = [*SCOPE, "query_id", "embedding"]
     q, v = queries, vectors
     for c in SCOPE:
@@ -261,12 +279,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = V.TOP_DENSE, max_qu
         v = v if c in v.columns else v.withColumn(c, F.lit(None).cast("string"))
     q = q.filter(F.col("embedding").isNotNull()).select(*wanted)
     v = v.select("chunk_id", "embedding", *SCOPE)
-    total = 1 if is_small(q, max_queries, 1 << 29) else q.count()
-    slices = max(1, -(-2 * total // max_queries)) if total > 1 else 1
+    total, size = q.agg(F.count(F.lit(1)), F.sum(F.size("embedding").cast("long") * 8)).first()
+    slices = query_slices(total, size or 0, max_queries)
     parts = []
     for i in range(slices):
         mine = q if slices == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
-        local = mine.toPandas()  # bounded by the check above
+        local = mine.toPandas()  # bounded by the figures above
         if len(local):
             parts.append(v.mapInPandas(_local_top_k(local, k), KNN_SCHEMA))
     if not parts:

@@ -1,6 +1,8 @@
 """Many queries at once: scope, candidates, fusion, ranking, context."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -284,13 +286,17 @@ FEW_QUERIES = 2_000
 def search(
     chunks: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig(),
     logit: Column | None = None, embedding: str = "embedding", index: KeywordIndex | None = None,
+    encode: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Queries (query_id, query, embedding) to ranked context rows. ``chunks``
     carries its vector in ``embedding`` (null: keyword search only). A stored
-    ``index`` saves building one."""
+    ``index`` saves building one. ``encode`` adds the queries' ``embedding`` from
+    their ``search_query``, so that the words added to an administrative
+    question count in the vector search too."""
     few = is_small(queries.select("query_id", "query"), FEW_QUERIES)
     vectors = chunks.filter(F.col(embedding).isNotNull()).select("chunk_id", *SCOPE, F.col(embedding).alias("embedding"))
-    scoped = open_empty_scopes(detect_scope(queries, config), vectors)
+    scoped = open_empty_scopes(detect_scope(queries if encode is None else queries.drop("embedding"), config), vectors)
+    scoped = scoped if encode is None else encode(scoped)
     scoped = cut(scoped, "queries")
     dense = nearest(vectors, scoped, V.TOP_DENSE)
     sparse = sparse_candidates(scoped_bm25_scores(index or build_index(chunks), scoped))

@@ -92,11 +92,14 @@ def a07(spark, sf):
     return A.get_or_create_bases(existing, d.select(F.explode(F.array("lang", "source")).alias("name")))
 
 
-@query("a08_cascade_delete", f"""WITH {FEEDBACK}, gone AS (SELECT doc_id AS conv_id FROM labels WHERE toxic = 1)
-SELECT message_id, conversation_id FROM ms WHERE conversation_id NOT IN (SELECT conv_id FROM gone)""")
+@query("a08_cascade_delete", f"""WITH {CONV}, {FEEDBACK}, gone AS (SELECT doc_id AS conv_id FROM labels WHERE toxic = 1)
+SELECT message_id, conversation_id FROM ms WHERE conversation_id NOT IN (SELECT conv_id FROM gone)
+UNION ALL SELECT NULL, id FROM cv WHERE id NOT IN (SELECT conv_id FROM gone)""")
 def a08(spark, sf):
     gone = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
-    return A.cascade_delete(conversations(spark, sf), messages(spark, sf), gone, "id", "conversation_id")[1].select("message_id", "conversation_id")
+    parents, children = A.cascade_delete(conversations(spark, sf), messages(spark, sf), gone, "id", "conversation_id")
+    left = children.select("message_id", "conversation_id")
+    return left.unionByName(parents.select(F.lit(None).cast(left.schema["message_id"].dataType).alias("message_id"), F.col("id").alias("conversation_id")))
 
 
 @query("a09_transcript", f"""WITH {CONV}, {LATEST} SELECT ms.message_id, conversation_id, user_id, role, text, rating, comment FROM cv JOIN ms ON ms.conversation_id = cv.id LEFT JOIN lf USING (message_id)

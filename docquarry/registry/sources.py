@@ -129,6 +129,9 @@ def s14(spark, sf):
     path = fresh_path(spark, "evaluation")
     b = table(spark, sf, "benchmark").select(F.col("text").alias("query"), F.substring("text", 1, 20).alias("expected_heading"),
                                              F.array(F.substring("text", 1, 4)).alias("expected_keywords"))
-    b.write.json(path)  # one object per line is read by the same schema
-    df = spark.read.schema(S.EVAL_ITEM).json(path).withColumn("negative_keywords", F.coalesce("negative_keywords", F.array().cast("array<string>")))
+    # files that hold one JSON array each, as evaluation sets come, of about 100 items
+    items = b.select(F.to_json(F.struct(*b.columns)).alias("item")).withColumn("file", F.pmod(F.xxhash64("item"), F.lit(1 + b.count() // 100)))
+    arrays = items.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("file").text(path)
+    df = S.evaluation_items(spark, path)
     return df.select("query", "expected_heading", F.size("expected_keywords").alias("keywords"), F.size("negative_keywords").alias("negatives"))

@@ -26,7 +26,7 @@ def st1(spark, sf):
     return I.read_chunks(spark, run_ingest(spark, sf)).select("text_hash")
 
 
-@query("st1_ingest_status", f"""WITH {NOISY} SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN trim(text, concat(chr(10), ' ')) = '' THEN 'failed' ELSE 'completed' END AS status FROM noisy""")
+@query("st1_ingest_status", f"""WITH {NOISY} SELECT CAST(doc_id AS VARCHAR) AS document_id, 'completed' AS status FROM noisy""")
 def st1s(spark, sf):
     return I.read_status(spark, run_ingest(spark, sf)).select("document_id", "status")
 

@@ -16,11 +16,12 @@ def read_catalog(spark: SparkSession, path: str, schema: T.StructType, fmt: str
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Existing rows without the incoming keys, plus the incoming rows. Within
-    the incoming rows the last by ``_seq`` wins, if that column is there."""
-    if "_seq" in incoming.columns:
-        rest = [c for c in incoming.columns if c not in (key, "_seq")]
-        incoming = incoming.groupBy(key).agg(F.max_by(F.struct(*rest), "_seq").alias("_r")).select(key, "_r.*")
+    """Existing rows without the incoming keys, plus one incoming row per key:
+    the last by ``_seq`` or, without that column, that of the greatest hash, so
+    that a repeated run stores the same row."""
+    rest = [c for c in incoming.columns if c not in (key, "_seq")]
+    order = F.col("_seq") if "_seq" in incoming.columns else F.xxhash64(*rest)
+    incoming = incoming.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
     return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 

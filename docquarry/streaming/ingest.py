@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docquarry import fixed as V
 from docquarry.functions.joins import guarded_join, keep_first
 from docquarry.functions.text import clean_text, fingerprint, strip
-from docquarry.operators.chunks import token_windows
+from docquarry.operators.chunks import fill_empty_document, token_windows
 from docquarry.session import cut
 
 CHUNKS = "document_id string, local_index int, text_hash string, text string"
@@ -22,16 +22,20 @@ STATUS = "document_id string, status string, error_message string"
 
 
 def chunk_batch(documents: DataFrame, size: int = V.SPLIT_TOKENS, overlap: int = V.SPLIT_OVERLAP) -> DataFrame:
-    """(document_id, text) to chunks; the position is local to the document."""
-    cleaned = documents.select("document_id", clean_text(F.col("text")).alias("text")).filter(F.col("text") != "")
+    """(document_id, text) to chunks; the position is local to the document. A
+    document without text has one chunk that says so."""
+    note = fill_empty_document(F.col("text"), F.col("document_id"))
+    blank = strip(F.coalesce("text", F.lit(""))) == ""
+    cleaned = documents.select("document_id", F.when(blank, note).otherwise(clean_text(F.col("text"))).alias("text")).filter(F.col("text") != "")
     pieces = cleaned.select("document_id", F.posexplode(token_windows(F.col("text"), size, overlap)).alias("local_index", "text"))
     return pieces.withColumn("text_hash", fingerprint(F.col("text"))).select("document_id", "local_index", "text_hash", "text")
 
 
 def batch_status(documents: DataFrame) -> DataFrame:
-    """completed, or failed with a message of at most 1000 characters."""
-    bad = strip(F.coalesce("text", F.lit(""))) == ""
-    message = F.left(F.concat(F.lit("no extractable text in "), "document_id"), F.lit(V.ERROR_CHARS))
+    """completed, or failed with a message of at most 1000 characters: a document
+    without an id cannot be stored. One without text is (see ``chunk_batch``)."""
+    bad = F.col("document_id").isNull()
+    message = F.left(F.concat(F.lit("no document id for the text "), F.coalesce("text", F.lit(""))), F.lit(V.ERROR_CHARS))
     return documents.select("document_id", F.when(bad, "failed").otherwise("completed").alias("status"),
                             F.when(bad, message).alias("error_message"))
 
