@@ -352,6 +352,36 @@ def test_line_dedup(spark, odd):
         assert r.text == "\n".join(x for k, x in enumerate(texts[r.id].split("\n")) if k not in out)
 
 
+def _edited_pairs(kind, n, rng):
+    """Pairs of different lines of a kind, one or two letters apart, of similarity 0.8 or more."""
+    letters = "abcdefghijklmnopqrstuvwxyz" if kind != "han" else "".join(map(chr, range(0x4e00, 0x5e00)))
+    few, many, between = {"2-3": (2, 3, " "), "4-6": (4, 6, " "), "7-9": (7, 9, " "), "30": (30, 30, " "), "tabs": (6, 9, "\t"), "token": (12, 20, "/"),
+                          "han": (8, 20, "")}[kind]
+    made = []
+    while len(made) < n:
+        words = ("".join(rng.choices(letters, k=rng.randint(4, 11))) for _ in range(rng.randint(few, many)))
+        a = b = between.join(words)
+        for _ in range(rng.randint(1, 2)):
+            k = rng.randrange(len(b))
+            b = b[:k] + rng.choice(letters) + b[k + 1:]
+        x, y = ({z[k:k + 5] for k in range(len(z) - 4)} for z in (a, b))
+        if a != b and len(x & y) >= 0.8 * len(x | y):
+            made.append((a, b))
+    return made
+
+
+def test_line_bound_keeps_all_alike(spark):
+    """The test before the whole comparison lets every pair of the similarity pass, and few random ones."""
+    from docquarry.llm.line_dedup import bitmaps, may_be_alike
+    rng = random.Random(9)
+    pairs = [p for kind in ("2-3", "7-9", "30", "han") for p in _edited_pairs(kind, 50, rng)] + [("ab" * 300, "ab" * 5), ("x" * 5, "x" * 900)]
+    lines = spark.createDataFrame([(2 * k + s, line) for k, p in enumerate(pairs) for s, line in enumerate(p)], "o long, line string")
+    alike = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(len(pairs))], "a long, b long")
+    assert may_be_alike(bitmaps(lines), alike, 0.8).count() == len(pairs)
+    apart = spark.createDataFrame([(2 * k, 2 * k + 2) for k in range(200)], "a long, b long")
+    assert may_be_alike(bitmaps(lines), apart, 0.8).count() <= 2
+
+
 def test_line_dedup_odd(spark, odd):
     from docquarry.llm.line_dedup import dedup_lines
     got = {(r.id, r.text, tuple(r.removed)) for r in dedup_lines(odd).collect()}
