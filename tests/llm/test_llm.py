@@ -370,6 +370,21 @@ def _edited_pairs(kind, n, rng):
     return made
 
 
+def test_line_dedup_recall(spark):
+    """Near copies are found in lines of few words and in lines without blanks."""
+    from docquarry.llm.line_dedup import dedup_lines
+    rng, kinds = random.Random(8), ("2-3", "4-6", "7-9", "30", "tabs", "token", "han")
+    pairs = [(kind, p) for kind in kinds for p in _edited_pairs(kind, 200, rng)]
+    first, other = "Internationalization specification", "Xnternationalization specification"
+    pairs.append(("named", (first, other)))
+    docs = [(2 * k + s, line) for k, (_, p) in enumerate(pairs) for s, line in enumerate(p)]
+    removed = {r.id for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.removed}
+    assert not any(k % 2 == 0 for k in removed)
+    found = Counter(pairs[k // 2][0] for k in removed)
+    print({kind: found[kind] / 2 for kind in kinds})
+    assert all(found[kind] >= 0.96 * 200 for kind in kinds) and found["named"] == 1, found
+
+
 def test_line_bound_keeps_all_alike(spark):
     """The test before the whole comparison lets every pair of the similarity pass, and few random ones."""
     from docquarry.llm.line_dedup import bitmaps, may_be_alike
