@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,6 +29,9 @@ NAMED = frozenset(("ad ads adv advert adverts advertisement advertising banner b
                    "disqus footer gdpr masthead menu modal nav navbar navigation navigational newsletter notice notices notification overlay "
                    "pager pagination popup promo promotion recommended related replies respond share sharing sidebar signup skip social "
                    "sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets complementary contentinfo search").split())
+#: Parts of a class or id that make it tell what a page has, or the state of it, and not what the element is.
+STATES = frozenset(("has have no not with without is show hide enable enabled disable disabled open opened close closed fixed sticky on off active "
+                    "inactive visible allowed").split())
 ROOTS = frozenset("html body main article".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -45,10 +49,13 @@ class Page:
 
     def __init__(self, html: str) -> None:
         self.tag, self.parent, self.dropped = ["#root"], [0], [False]
+        self.doubtful: dict[int, bool] = {}  # forms and nodes named like what is not main text
         self.chars, self.links, self.tags, self.link_tags = [0], [0], [0], [0]
         self.runs: list[tuple[int, str | None]] = []  # (node, text), text None: a block ends
         self.stack, self.open_links, self.in_head = [0], 0, True
         self._read(html)
+        if self.doubtful:
+            self._settle()
         self._sum()
 
     def _open(self, tag: str, attributes: str) -> int:
@@ -64,10 +71,14 @@ class Page:
             self._close_scoped(CLOSES[tag], SCOPE)
         up = stack[-1]
         node = len(self.tag)
-        bad = tag in DROPPED or (tag == "header" and not any(self.tag[n] in ("article", "main") for n in stack))
-        if attributes and not bad and tag not in ROOTS:
+        bad = (tag in DROPPED and tag != "form") or (tag == "header" and not any(self.tag[n] in ("article", "main") for n in stack))
+        doubtful = tag == "form"
+        if attributes and not bad and tag not in ("html", "body"):
             names = " ".join(a or b or c for a, b, c in _NAME.findall(attributes)).lower()
-            bad = bool(names and NAMED.intersection(re.split(r"[^a-z0-9]+", names))) or bool(_HIDDEN.search(attributes))
+            doubtful = doubtful or bool(names and named(names))
+            bad = tag not in ROOTS and bool(_HIDDEN.search(attributes))
+        if doubtful and not bad:
+            self.doubtful[node] = tag in ROOTS  # an article or main stays, but is no sign of main text
         for column, value in ((self.tag, tag), (self.parent, up), (self.dropped, bad or self.dropped[up]), (self.chars, 0), (self.links, 0),
                               (self.tags, 0), (self.link_tags, 0)):
             column.append(value)
@@ -135,6 +146,44 @@ class Page:
                     self.open_links += tag == "a"
         self._text(html[at:])
 
+    def _settle(self) -> None:
+        """Drop the doubtful nodes, but for those that hold the page's text.
+
+        A doubtful node stays if no article or main is beside it, and it
+        contains one or over half of the page's characters out of links.
+        Outer nodes come first; an article in another doubtful node is none."""
+        n = len(self.tag)
+        end, plain, near = list(range(n)), [c - x for c, x in zip(self.chars, self.links)], [-1] * n
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            end[p] = max(end[p], end[i])
+            plain[p] += plain[i]
+        asked = [i for i, root in self.doubtful.items() if not root]
+        for i in asked:
+            near[i] = i
+        for i in range(1, n):
+            near[i] = max(near[i], near[self.parent[i]])  # the innermost doubtful node around
+        marks = [i for i in range(n) if self.tag[i] in ("article", "main") and not self.dropped[i] and i not in self.doubtful and plain[i]]
+        inner = {near[m] for m in marks}
+        later = [n] * (len(marks) + 1)
+        for k in range(len(marks) - 1, -1, -1):
+            later[k] = min(later[k + 1], near[marks[k]])
+        gone, k, closed = -1, 0, n
+        for i in asked:
+            if i <= gone:
+                continue
+            while k < len(marks) and marks[k] < i:
+                if not self.dropped[marks[k]]:
+                    closed = min(closed, end[marks[k]])
+                k += 1
+            beside = closed < i or later[bisect_right(marks, end[i])] < i
+            if not beside and (i in inner or 2 * plain[i] > plain[0]):
+                continue
+            gone = end[i]
+            for j in range(i, end[i] + 1):
+                self.dropped[j], self.chars[j], self.links[j] = True, 0, 0
+        self.runs = [(j, text) for j, text in self.runs if text is None or not self.dropped[j]]
+
     def _sum(self) -> None:
         """Characters and tags below every node, links apart; dropped nodes count nowhere."""
         n = len(self.tag)
@@ -201,6 +250,16 @@ class Page:
         return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
 
 
+def named(names: str) -> bool:
+    """Whether a class, id or role names what is not main text. 'site-footer' and
+    'sidebar-left' do; 'has-sidebar', 'comment-open' and 'share-enabled' do not."""
+    for name in names.split():
+        parts = set(re.split(r"[^a-z0-9]+", name))
+        if parts & NAMED and not parts & STATES:
+            return True
+    return False
+
+
 def composite(chars: int, tags: int, links: int, link_tags: int, body_part: float) -> float:
     """Characters per tag, lowered by the share of links: C/T times the logarithm
     of (C/LC)(T/LT) to the base ln(C/(C - LC) LC + body_part C + e); counts of 0 count as 1."""

@@ -239,6 +239,28 @@ def test_page_text(spark):
     assert extract_text(df.limit(0)).count() == 0
 
 
+def test_page_text_in_named_wrappers():
+    """A class or a form does not drop the node that holds the page's text."""
+    from docquarry.llm.html_text import main_text
+    words = [" ".join(f"word{k * 40 + j}" for j in range(40)) + "." for k in range(4)]
+    article, want = "".join(f"<p>{w}</p>" for w in words), "\n".join(words)
+    menu = '<div class="nav-menu"><a href="/a">Home</a> <a href="/b">News</a></div>'
+    end = '<div class="site-footer">All rights reserved here</div>'
+    wrappers = ["content has-sidebar", "main-content no-sidebar", "post comment-open", "entry-content share-enabled", "wrapper footer-fixed",
+                "search-enabled", "page-with-sidebar", "sidebar-layout", "post social"]
+    for name in wrappers:
+        for inner in (article, f"<article>{article}</article>", f"<main>{article}</main>"):
+            assert main_text(f'<html><body>{menu}<div class="{name}">{inner}</div>{end}</body></html>') == want, name
+        assert main_text(f'<html><body>{menu}<main><div id="{name.split()[-1]}">{article}</div></main>{end}</body></html>') == want, name
+    assert main_text(f'<html><body><form action="/x" id="aspnetForm">{menu}{article}{end}</form></body></html>') == want
+    assert main_text(f'<html><body>{menu}{article}<form><p>{words[0][:60]}</p></form>{end}</body></html>') == want
+    # comments and teasers beside an article go, however long they are
+    remarks = "".join(f'<article class="comment"><p>{w}</p></article>' for w in 4 * words)
+    assert main_text(f'<html><body>{menu}<article>{article}</article><div id="comments">{remarks}</div>{end}</body></html>') == want
+    teasers = f"<article><p>{words[0]}</p></article>"
+    assert main_text(f'<html><body>{menu}<article>{article}</article><div class="related">{teasers}</div>{end}</body></html>') == want
+
+
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
