@@ -75,7 +75,15 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     if _SCOPES:
         _SCOPES[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stage = df.sparkSession.read.schema(df.schema).parquet(path)
+    stage._cut_path = path
+    return stage
+
+
+def discard(stage: DataFrame) -> None:
+    """Delete what ``cut`` wrote for ``stage``, once all that reads it is written itself."""
+    target = stage.sparkSession._jvm.org.apache.hadoop.fs.Path(stage._cut_path)
+    target.getFileSystem(stage.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
