@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_PARTS = ("token_counts", "quality", "licenses", "simhash", "rules", "sharding", "html_text", "packing", "line_dedup", "decontaminate")
+_PARTS = ("token_counts", "quality", "licenses", "simhash", "rules", "sharding", "html_text", "packing", "line_dedup", "decontaminate", "language", "lexical", "whitening")
 
 
 def query(name: str, sql: str | None = None):
