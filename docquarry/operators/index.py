@@ -39,25 +39,36 @@ def chunk_terms(chunks: DataFrame, text: str = "page_content") -> DataFrame:
         "chunk_id", *scope, F.size("_t").alias("dl"), term_counts(F.col("_t")).alias("terms"))
 
 
-def _open_terms(rows: DataFrame, by_chunk: bool) -> DataFrame:
-    if by_chunk:
-        rows = rows.repartition("chunk_id")
-    return rows.select(*[c for c in rows.columns if c != "terms"], F.inline("terms"))
+def _counted(chunks: DataFrame, text: str) -> DataFrame:
+    """Chunks whose terms are counted: as they come, or by ``chunk_terms``."""
+    return chunks if "terms" in chunks.columns else chunk_terms(chunks, text)
 
 
-def postings(chunks: DataFrame, text: str = "page_content", only: DataFrame | None = None, by_chunk: bool = False) -> DataFrame:
-    """(chunk_id, [scope], term, tf, dl), without a shuffle. ``only`` (a table
-    of terms) leaves out the terms that nobody asks for.
+def postings(chunks: DataFrame, text: str = "page_content") -> DataFrame:
+    """(chunk_id, [scope], dl, term, tf): terms are counted inside the chunk's row, so nothing is shuffled."""
+    counted = _counted(chunks, text)
+    return counted.select(*[c for c in counted.columns if c != "terms"], F.inline("terms"))
 
-    ``by_chunk`` hands the chunks out by their id first, one row each. Scores
-    per (query, chunk) are then complete inside a task, and so is the cut to the
-    best per query: what is shuffled is one row per chunk and a few rows per
-    query and task, not one row per pair of a query and a chunk.
-    """
-    words = _open_terms(chunk_terms(chunks, text), by_chunk)
-    if only is not None:
-        words = guarded_join(words, only.select("term").distinct(), ["term"], "left_semi", spread=F.col("chunk_id"))
-    return words
+
+BUCKETS = 512  # folders of stored postings; a search reads those of its own terms
+
+
+def term_bucket() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+
+
+def asked_postings(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """Postings of the terms that some query has, handed out by chunk.
+
+    All others are left out where they are read: stored postings by their folder, then all by
+    the (measured) terms, which are sent to the tasks. Only what remains is shuffled. Scores per (query, chunk)
+    are then complete inside a task, and so is the cut to the best per query: what is shuffled after
+    that is a few rows per query and task, not one row per pair of a query and a chunk."""
+    terms = asked.select("term").distinct()
+    if "bucket" in words.columns:
+        folders = sorted(r[0] for r in terms.select(term_bucket().alias("b")).distinct().collect())  # at most BUCKETS numbers
+        words = words.filter(F.col("bucket").isin(folders)).drop("bucket")
+    return guarded_join(words, terms, ["term"], "left_semi", spread=F.col("chunk_id")).repartition("chunk_id")
 
 
 def term_stats(chunks: DataFrame, text: str = "page_content") -> DataFrame:
@@ -75,14 +86,13 @@ def scoped_term_stats(chunks: DataFrame, text: str = "page_content") -> DataFram
     """Document frequencies for every scope (carrier and line of business, one
     of them, none; null means any). Counted once at the finest scope, then the
     small counts are rolled up."""
-    words = chunks.select(*SCOPE, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    words = _counted(chunks, text).select(*SCOPE, F.explode("terms.term").alias("term"))
     fine = words.groupBy(*SCOPE, "term").agg(F.count(F.lit(1)).alias("n"))
     return fine.groupingSets([[*s, "term"] for s in SCOPES], *SCOPE, "term").agg(F.sum("n").alias("df"))
 
 
 def scoped_corpus_stats(chunks: DataFrame, text: str = "page_content") -> DataFrame:
-    fine = chunks.groupBy(*SCOPE).agg(
-        F.count(F.lit(1)).alias("c"), F.sum(F.size(tokens(F.col(text)))).alias("s"))
+    fine = _counted(chunks, text).groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("c"), F.sum("dl").alias("s"))
     return fine.groupingSets(SCOPES, *SCOPE).agg(
         F.sum("c").alias("n"), (F.sum("s") / F.sum("c")).alias("avgdl"))
 
@@ -111,25 +121,33 @@ def scoped_idf(chunks: DataFrame, text: str = "page_content") -> tuple[DataFrame
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """What keyword search reads: terms per chunk, weights per (scope, term),
-    totals per scope. Built once per corpus and stored."""
+    """What keyword search reads: postings, weights per (scope, term), totals
+    per scope. Built once per corpus and stored; the postings of a stored index
+    also have their folder, ``bucket``."""
 
-    chunks: DataFrame
+    postings: DataFrame
     weights: DataFrame
     corpus: DataFrame
 
 
 def build_index(chunks: DataFrame, text: str = "page_content") -> KeywordIndex:
-    return KeywordIndex(chunk_terms(chunks, text), *scoped_idf(chunks, text))
+    """Words are split once: the terms of each chunk are written, the statistics and postings read them."""
+    counted = cut(chunk_terms(chunks, text), "chunk-terms")
+    return KeywordIndex(postings(counted), *scoped_idf(counted))
 
 
 def write_index(index: KeywordIndex, path: str) -> None:
-    for name in ("chunks", "weights", "corpus"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    """Postings and weights lie in folders by their term, sorted inside each file, so that a search reads the
+    folders of its terms and in these the row groups that can hold them. The rebalance splits the folder of a very
+    frequent term into files of equal size."""
+    for name in ("postings", "weights"):
+        rows = getattr(index, name).withColumn("bucket", term_bucket())
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 
 
 def read_index(spark: SparkSession, path: str) -> KeywordIndex:
-    return KeywordIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("chunks", "weights", "corpus")])
+    return KeywordIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "weights", "corpus")])
 
 
 def query_terms(queries: DataFrame, text: str = "search_query") -> DataFrame:
@@ -152,7 +170,8 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "page_content
         "raw", idf(F.col("n"), F.col("df"))).select(
         "query_id", "term", "qtf", "avgdl",
         F.when(F.col("raw") < 0, V.BM25_FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("weight"))
-    hits = guarded_join(postings(chunks, text, by_chunk=True), cut(mine, "query-terms"), ["term"], spread=F.col("chunk_id"))
+    mine = cut(mine, "query-terms")
+    hits = guarded_join(asked_postings(postings(chunks, text), mine), mine, ["term"], spread=F.col("chunk_id"))
     part = F.col("qtf") * bm25(F.col("weight"), F.col("tf"), F.col("dl"), F.col("avgdl"))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
@@ -164,12 +183,15 @@ def scoped_bm25_scores(index: KeywordIndex, queries: DataFrame, query_text: str
     raw, corpus = index.weights, index.corpus
     asked = terms.join(queries.select("query_id", scope_key().alias("scope"), F.col("carrier").alias("q_carrier"),
                                       F.col("line_of_business").alias("q_lob")), "query_id")
-    mine = asked.join(raw, ["scope", "term"]).join(corpus, "scope").withColumn(
+    if "bucket" in raw.columns:  # the folder is part of the key, so that only folders of asked terms are read
+        asked = asked.withColumn("bucket", term_bucket())
+    on = [c for c in ("bucket", "scope", "term") if c in raw.columns]
+    mine = asked.join(raw, on).join(corpus, "scope").withColumn(
         "weight", F.when(F.col("raw") < 0, V.BM25_FLOOR * F.col("mean")).otherwise(F.col("raw")))
     mine = cut(mine.select("query_id", "term", "qtf", "avgdl", "q_carrier", "q_lob", "weight"), "query-terms")
     inside = (F.col("q_carrier").isNull() | (F.col("q_carrier") == F.col("carrier"))) & (
         F.col("q_lob").isNull() | (F.col("q_lob") == F.col("line_of_business")))
-    hits = guarded_join(_open_terms(index.chunks, True), mine, ["term"], condition=inside, spread=F.col("chunk_id"))
+    hits = guarded_join(asked_postings(index.postings, mine), mine, ["term"], condition=inside, spread=F.col("chunk_id"))
     part = F.col("qtf") * bm25(F.col("weight"), F.col("tf"), F.col("dl"), F.col("avgdl"))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
@@ -218,7 +240,7 @@ MAX_QUERY_BYTES = 64 << 20  # of a slice's vectors, as the tasks hold them
 KNN_SCHEMA = "query_id bigint, chunk_id string, score double"
 
 
-def _local_top_k(queries: pd.DataFrame, k: int):
+def vector_scores(queries: pd.DataFrame, k: int):
     """Per task: exact top k of its own vectors for every query. Vectors come in
     Arrow batches; only k rows per query are ever held."""
     ids = queries["query_id"].to_numpy()
@@ -286,7 +308,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = V.TOP_DENSE, max_qu
         mine = q if slices == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
         local = mine.toPandas()  # bounded by the figures above
         if len(local):
-            parts.append(v.mapInPandas(_local_top_k(local, k), KNN_SCHEMA))
+            parts.append(v.mapInPandas(vector_scores(local, k), KNN_SCHEMA))
     if not parts:
         return v.sparkSession.createDataFrame([], KNN_SCHEMA + ", rank int")
     found = parts[0]

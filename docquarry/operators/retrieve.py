@@ -12,6 +12,7 @@ from docquarry import fixed as V
 from docquarry.functions.joins import is_small
 from docquarry.functions.similarity import fuzzy_carrier, fuzzy_lob
 from docquarry.functions.text import any_of, contains_any, let, rx, tokens
+from docquarry.operators.cells import nearest_in_cells
 from docquarry.operators.index import SCOPE, SCOPES, KeywordIndex, build_index, nearest, scoped_bm25_scores, top_k
 from docquarry.session import cut
 
@@ -286,19 +287,20 @@ FEW_QUERIES = 2_000
 def search(
     chunks: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig(),
     logit: Column | None = None, embedding: str = "embedding", index: KeywordIndex | None = None,
-    encode: Callable[[DataFrame], DataFrame] | None = None,
+    encode: Callable[[DataFrame], DataFrame] | None = None, vector_index=None,
 ) -> DataFrame:
     """Queries (query_id, query, embedding) to ranked context rows. ``chunks``
     carries its vector in ``embedding`` (null: keyword search only). A stored
     ``index`` saves building one. ``encode`` adds the queries' ``embedding`` from
     their ``search_query``, so that the words added to an administrative
-    question count in the vector search too."""
+    question count in the vector search too. With a ``vector_index`` (see
+    ``cells``) only its nearest cells are searched, else all vectors."""
     few = is_small(queries.select("query_id", "query"), FEW_QUERIES)
     vectors = chunks.filter(F.col(embedding).isNotNull()).select("chunk_id", *SCOPE, F.col(embedding).alias("embedding"))
     scoped = open_empty_scopes(detect_scope(queries if encode is None else queries.drop("embedding"), config), vectors)
     scoped = scoped if encode is None else encode(scoped)
     scoped = cut(scoped, "queries")
-    dense = nearest(vectors, scoped, V.TOP_DENSE)
+    dense = nearest(vectors, scoped, V.TOP_DENSE) if vector_index is None else nearest_in_cells(vector_index, scoped, V.TOP_DENSE)
     sparse = sparse_candidates(scoped_bm25_scores(index or build_index(chunks), scoped))
     fused = fuse(dense, sparse)
     need = ["chunk_id", "page_content", "filename", "document_id", "document_priority", "carrier",

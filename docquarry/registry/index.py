@@ -2,9 +2,11 @@
 from pyspark.sql import functions as F
 
 from docquarry import fixed as V
+from docquarry.operators import cells as C
 from docquarry.operators import index as X
 from docquarry.operators import retrieve as R
 from docquarry.registry.base import CARRIERS, CHUNKS, LOBS, QUESTIONS, chunks, lit, query, questions, sql_any, stored_chunks, table
+from docquarry.session import fresh_path
 
 CONFIG = R.SearchConfig(carriers=CARRIERS, lobs=LOBS, fuzzy=False)
 TOK = lambda x: f"regexp_extract_all(lower({x}), {lit(V.TOKEN)})"
@@ -78,6 +80,23 @@ def x04s(spark, sf):
     return X.scoped_bm25_scores(X.build_index(stored_chunks(spark, sf)), scoped).withColumn("score", F.round("score", 6))
 
 
+TOP = lambda s: f"SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {s} WHERE score > 0) WHERE rank <= 25"
+
+
+@query("x04_bm25_top", f"WITH {CHUNKS}, {QUESTIONS}, {GLOBAL} {TOP('sc')}")
+def x04t(spark, sf):
+    scores = X.bm25_scores(stored_chunks(spark, sf), questions(spark, sf), query_text="query")
+    return R.sparse_candidates(scores).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("x04_stored_index_top", f"WITH {CHUNKS}, {DETECTED}, {SCOPED_SCORES} {TOP('ssc')}")
+def x04i(spark, sf):
+    path = fresh_path(spark, "keyword-index")
+    X.write_index(X.build_index(stored_chunks(spark, sf)), path)
+    scores = X.scoped_bm25_scores(X.read_index(spark, path), R.detect_scope(questions(spark, sf), CONFIG))
+    return R.sparse_candidates(scores).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("x05_hashed_vectors")
 def x05(spark, sf):
     c, q = X.encode_hashed(chunks(spark, sf).select("chunk_id", "page_content"), questions(spark, sf))
@@ -110,3 +129,22 @@ def x06(spark, sf):
 def x06a(spark, sf):
     v = table(spark, sf, "embeddings").withColumn("chunk_id", F.col("vec_id").cast("string"))
     return X.nearest(v, questions(spark, sf, vectors=True)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("x06_cells_all", f"""SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT a.vec_id AS query_id, CAST(b.vec_id AS VARCHAR) AS chunk_id, round({DOT}, 9) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label)) WHERE rank <= 25""")
+def x06c(spark, sf):
+    # all cells probed: what the blocks of cells find together is the exact result
+    v = table(spark, sf, "embeddings").withColumn("carrier", F.col("label").cast("string"))
+    index = C.build_vector_index(v.withColumn("chunk_id", F.col("vec_id").cast("string")))
+    return C.nearest_in_cells(index, v.withColumnRenamed("vec_id", "query_id"), probes=len(index.centres)).select(
+        "query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("x06_approximate_knn")
+def x06n(spark, sf):
+    v = table(spark, sf, "embeddings").withColumn("carrier", F.col("label").cast("string"))
+    path = fresh_path(spark, "vector-index")
+    C.write_vector_index(C.build_vector_index(v.withColumn("chunk_id", F.col("vec_id").cast("string"))), path)
+    return C.nearest_in_cells(C.read_vector_index(spark, path), v.withColumnRenamed("vec_id", "query_id")).select(
+        "query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))

@@ -56,19 +56,18 @@ def r06(spark, sf):
     return R.scope_sizes(detected(spark, sf), chunks(spark, sf)).select("query_id", "carrier", "line_of_business", "hits")
 
 
-# vectors of one half of the carriers, so that some filters find nothing
-HALF = f"{VECTORS}, vh AS (SELECT * FROM ve WHERE doc_id % 2 = 0)"
-OPEN = f"""{HITS.format(rows='vh')}, qo AS (SELECT * EXCLUDE (carrier, line_of_business, hits), CASE WHEN hits > 0 THEN carrier END AS carrier,
-  CASE WHEN hits > 0 THEN line_of_business END AS line_of_business, hits = 0 AS fell_back FROM qd JOIN hits USING (query_id))"""
+# all vectors; every third question names a carrier that no chunk has, so that its filter finds nothing
+NOWHERE = "query_id % 3 = 0"
+OPEN = f"""qx AS MATERIALIZED (SELECT * EXCLUDE (carrier), carrier || CASE WHEN {NOWHERE} THEN ' elsewhere' ELSE '' END AS carrier FROM qd),
+vx AS MATERIALIZED (SELECT chunk_id, carrier || '' AS carrier, line_of_business || '' AS line_of_business FROM ve),
+{HITS.format(rows='vx').replace('qd', 'qx')}, qo AS (SELECT * EXCLUDE (carrier, line_of_business, hits), CASE WHEN hits > 0 THEN carrier END AS carrier,
+  CASE WHEN hits > 0 THEN line_of_business END AS line_of_business, hits = 0 AS fell_back FROM qx JOIN hits USING (query_id))"""
 
 
-def half(spark, sf):
-    return chunks(spark, sf, vectors=True).filter("embedding IS NOT NULL AND doc_id % 2 = 0")
-
-
-@query("r07_empty_filter_fallback", f"WITH {CHUNKS}, {DETECTED}, {HALF}, {OPEN} SELECT query_id, carrier, line_of_business, fell_back FROM qo")
+@query("r07_empty_filter_fallback", f"WITH {CHUNKS}, {DETECTED}, {VECTORS}, {OPEN} SELECT query_id, carrier, line_of_business, fell_back FROM qo")
 def r07(spark, sf):
-    return R.open_empty_scopes(detected(spark, sf), half(spark, sf)).select("query_id", "carrier", "line_of_business", "fell_back")
+    asked = detected(spark, sf).withColumn("carrier", F.concat("carrier", F.when(F.expr(NOWHERE), F.lit(" elsewhere")).otherwise(F.lit(""))))
+    return R.open_empty_scopes(asked, chunks(spark, sf, vectors=True).filter("embedding IS NOT NULL")).select("query_id", "carrier", "line_of_business", "fell_back")
 
 
 SPARSE = """sr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {s} WHERE score > 0) WHERE rank <= 25)"""
