@@ -4,6 +4,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -29,17 +30,27 @@ NAMED = frozenset(("ad ads adv advert adverts advertisement advertising banner b
                    "disqus footer gdpr masthead menu modal nav navbar navigation navigational newsletter notice notices notification overlay "
                    "pager pagination popup promo promotion recommended related replies respond share sharing sidebar signup skip social "
                    "sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets complementary contentinfo search").split())
+#: Of these, words that also stand in the names of parts of a text; such a node goes only if it is mostly links.
+AMBIGUOUS = frozenset("promo recommended related replies respond search share sharing skip social teaser menu pager".split())
+#: Parts of a class or id that say where or in what form something stands.
+PLACES = frozenset(("site page main global top bottom left right center header head foot primary secondary inner outer container wrapper wrap box block "
+                    "bar area list item items link links form section region row col column content text body post posts article entry single "
+                    "mobile desktop sticky fixed large small big mini wide full panel banner zone slot unit new wp js id").split())
 #: Parts of a class or id that make it tell what a page has, or the state of it, and not what the element is.
 STATES = frozenset(("has have no not with without is show hide enable enabled disable disabled open opened close closed fixed sticky on off active "
                     "inactive visible allowed").split())
+MENU_LINK = 24  # characters of a menu's link at most, on average
 ROOTS = frozenset("html body main article".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 #: A list item closes the item before, but none outside its own list.
 SCOPE = frozenset("ul ol dl table select body html article section div".split())
 
+# nothing in it is tried twice: a quoted value follows a sign, all else is one character; a tag, comment or
+# declaration that the page's end cuts off is markup too
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*?)>", re.S)
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)", re.S)
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
@@ -50,9 +61,12 @@ class Page:
     def __init__(self, html: str) -> None:
         self.tag, self.parent, self.dropped = ["#root"], [0], [False]
         self.doubtful: dict[int, bool] = {}  # forms and nodes named like what is not main text
+        self.linked: set[int] = set()  # of these, those whose name is ambiguous: only boxes of links go
         self.chars, self.links, self.tags, self.link_tags = [0], [0], [0], [0]
         self.runs: list[tuple[int, str | None]] = []  # (node, text), text None: a block ends
         self.stack, self.open_links, self.in_head = [0], 0, True
+        self.open = Counter()  # open nodes by tag, so that no end tag looks through the stack in vain
+        self.outer = [0]  # open nodes that are not inline
         self._read(html)
         if self.doubtful:
             self._settle()
@@ -71,11 +85,14 @@ class Page:
             self._close_scoped(CLOSES[tag], SCOPE)
         up = stack[-1]
         node = len(self.tag)
-        bad = (tag in DROPPED and tag != "form") or (tag == "header" and not any(self.tag[n] in ("article", "main") for n in stack))
+        bad = (tag in DROPPED and tag != "form") or (tag == "header" and not self.open["article"] and not self.open["main"])
         doubtful = tag == "form"
         if attributes and not bad and tag not in ("html", "body"):
             names = " ".join(a or b or c for a, b, c in _NAME.findall(attributes)).lower()
-            doubtful = doubtful or bool(names and named(names))
+            kind = named(names) if names else None
+            if kind and not doubtful and kind <= AMBIGUOUS:
+                self.linked.add(node)
+            doubtful = doubtful or bool(kind)
             bad = tag not in ROOTS and bool(_HIDDEN.search(attributes))
         if doubtful and not bad:
             self.doubtful[node] = tag in ROOTS  # an article or main stays, but is no sign of main text
@@ -86,20 +103,24 @@ class Page:
 
     def _pop(self) -> None:
         node = self.stack.pop()
+        self.open[self.tag[node]] -= 1
         if self.tag[node] == "a":
             self.open_links -= 1
         if self.tag[node] not in INLINE:
+            self.outer.pop()
             self.runs.append((self.stack[-1], None))
 
     def _close(self, tag: str) -> None:
         """Close the innermost open ``tag`` and all in it, if there is one."""
-        if any(self.tag[n] == tag for n in self.stack):
+        if self.open[tag]:
             while self.tag[self.stack[-1]] != tag:
                 self._pop()
             self._pop()
 
     def _close_scoped(self, tags: set[str], scope: frozenset[str]) -> None:
-        for node in reversed(self.stack):
+        if not any(self.open[t] for t in tags):
+            return
+        for node in reversed(self.outer):  # what is closed here and what ends the search is never inline
             if self.tag[node] in tags:
                 while self.stack[-1] != node:
                     self._pop()
@@ -129,7 +150,7 @@ class Page:
                 continue
             tag = tag.lower()
             if slash:
-                if tag == "p" and not any(self.tag[n] == "p" for n in self.stack):
+                if tag == "p" and not self.open["p"]:
                     self.runs.append((self.stack[-1], None))
                 self._close(tag)
             elif tag in ("html", "body") and tag in self.tag:
@@ -143,6 +164,9 @@ class Page:
                     self.runs.append((self.stack[-1], " "))
                 elif tag not in VOID and not attributes.endswith("/"):
                     self.stack.append(node)
+                    self.open[tag] += 1
+                    if tag not in INLINE:
+                        self.outer.append(node)
                     self.open_links += tag == "a"
         self._text(html[at:])
 
@@ -150,21 +174,27 @@ class Page:
         """Drop the doubtful nodes, but for those that hold the page's text.
 
         A doubtful node stays if no article or main is beside it, and it
-        contains one or over half of the page's characters out of links.
+        contains one or over half of the page's characters out of links, and
+        nearly all of those of an article or main around it.
         Outer nodes come first; an article in another doubtful node is none."""
         n = len(self.tag)
         end, plain, near = list(range(n)), [c - x for c, x in zip(self.chars, self.links)], [-1] * n
+        whole = list(self.chars)
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
             end[p] = max(end[p], end[i])
             plain[p] += plain[i]
+            whole[p] += whole[i]
         asked = [i for i, root in self.doubtful.items() if not root]
         for i in asked:
             near[i] = i
         for i in range(1, n):
             near[i] = max(near[i], near[self.parent[i]])  # the innermost doubtful node around
         marks = [i for i in range(n) if self.tag[i] in ("article", "main") and not self.dropped[i] and i not in self.doubtful and plain[i]]
-        inner = {near[m] for m in marks}
+        inner, set_marks = {near[m] for m in marks}, set(marks)
+        main = list(range(n))  # the article or main around a node, else the page
+        for i in range(n):
+            main[i] = i if i in set_marks else main[self.parent[i]]
         later = [n] * (len(marks) + 1)
         for k in range(len(marks) - 1, -1, -1):
             later[k] = min(later[k + 1], near[marks[k]])
@@ -177,7 +207,10 @@ class Page:
                     closed = min(closed, end[marks[k]])
                 k += 1
             beside = closed < i or later[bisect_right(marks, end[i])] < i
-            if not beside and (i in inner or 2 * plain[i] > plain[0]):
+            most = 2 * plain[i] > plain[0] and 10 * plain[i] > 9 * plain[main[i]]
+            if not beside and (i in inner or most):
+                continue
+            if i in self.linked and 2 * plain[i] > whole[i]:
                 continue
             gone = end[i]
             for j in range(i, end[i] + 1):
@@ -230,13 +263,21 @@ class Page:
             top = self.parent[top]
         return top
 
+    def _above(self, node: int) -> Iterator[int]:
+        while node:
+            yield node
+            node = self.parent[node]
+
     def text(self) -> str:
-        """Blocks of the chosen node, without boxes of links, joined by newlines."""
+        """Blocks of the chosen node, without menus, joined by newlines. A menu is a box of links that are short and
+        are most of its text, outside of an article or main: lists of references and tables of links belong to the text."""
         top = self.content()
-        boxes = [False] * len(self.tag)
+        boxes, inside = [False] * len(self.tag), [False] * len(self.tag)
+        inside[top] = any(self.tag[i] in ("article", "main") for i in self._above(top))
         for i in range(top + 1, self.end[top] + 1):
+            inside[i] = inside[self.parent[i]] or self.tag[i] in ("article", "main")
             box = self.tag[i] not in INLINE and self.tag[i] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and self.link_tags[i] > 1 \
-                and 2 * self.links[i] > self.chars[i]
+                and 2 * self.links[i] > self.chars[i] and self.links[i] < MENU_LINK * self.link_tags[i] and not inside[i]
             boxes[i] = box or boxes[self.parent[i]]
         blocks, block = [], []
         for node, text in self.runs:
@@ -250,14 +291,15 @@ class Page:
         return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
 
 
-def named(names: str) -> bool:
-    """Whether a class, id or role names what is not main text. 'site-footer' and
-    'sidebar-left' do; 'has-sidebar', 'comment-open' and 'share-enabled' do not."""
+def named(names: str) -> frozenset[str] | None:
+    """The words by which a class, id or role names what is not main text, if it does. 'site-footer' and
+    'sidebar-left' do; 'has-sidebar' and 'comment-open' tell a state, 'search-methods' and 'advert-study' a topic."""
+    found: set[str] = set()
     for name in names.split():
-        parts = set(re.split(r"[^a-z0-9]+", name))
-        if parts & NAMED and not parts & STATES:
-            return True
-    return False
+        parts = set(re.split(r"[^a-z]+", name)) - {""}
+        if parts & NAMED and not parts & STATES and parts <= NAMED | PLACES:
+            found |= parts & NAMED
+    return frozenset(found) or None
 
 
 def composite(chars: int, tags: int, links: int, link_tags: int, body_part: float) -> float:
@@ -278,7 +320,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """One row per input row: id, url, text, n_chars (code points).
 
     Null and empty pages have the empty text; a page without markup is its own
-    text; null ids and urls and repeated rows are kept; no rows give no rows.
+    text; a tag that the page's end cuts off is markup; end tags of nothing are passed over; depth and number of
+    nodes cost no more than their number; null ids and urls and repeated rows are kept; no rows give no rows.
     Pages are read one after the other, so memory is that of the longest page."""
     plain = pick(pages, id=id_col, url=url_col, html=html_col)
     schema = T.StructType([plain.schema["id"], plain.schema["url"], T.StructField("text", T.StringType())])
