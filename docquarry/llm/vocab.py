@@ -10,6 +10,8 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 FRAGMENT = 1 << 18  # characters of a long text that are looked at together
 
@@ -98,6 +100,7 @@ class WordIds:
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     PLAIN = re.compile("[!-~¡-¬®-ÿ]+")  # of these, lower case and normal form are those of the file
     SAFE = "[ \n]"
+    STOP = "([a-zA-ZÀ-ÖØ-öø-ÿ])([.,;:!?]+)( |$)"  # the split parts such a letter and the marks behind it, so a blank may stand there
 
     def __init__(self, path: str, memo: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -113,6 +116,7 @@ class WordIds:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.cuts = bool(suffix) and before[0].get("pattern", {}).get("Regex") == self.PATTERN and before[0].get(
             "behavior") == "Removed" and before[0].get("invert") is True
+        self.cuts = self.cuts and not any(a.isalpha() or set(a) & set(".,;:!?") for a in self.added)
         if self.cuts:
             import regex
 
@@ -141,7 +145,10 @@ class WordIds:
     def _learn(self, words: Iterable[str]) -> None:
         split, odd, missing = {}, [], set()
         for w in words:
-            if self.PLAIN.fullmatch(w) and not any(a in w for a in self.added):
+            if w.isalpha() and self.PLAIN.fullmatch(w):  # one part; added tokens have other characters
+                split[w] = p = [w.lower()]
+                missing.add(p[0])
+            elif self.PLAIN.fullmatch(w) and not any(a in w for a in self.added):
                 split[w] = p = self.split(w.lower())
                 missing.update(p)
             else:
@@ -158,25 +165,40 @@ class WordIds:
         """Ids of every text, without special tokens but those that stand in it."""
         if not self.cuts:
             return [np.frombuffer(x, self.dtype) for x in self._encode(batch)]
-        out: list[list[bytes]] = [[] for _ in batch]
+        out: list[list[np.ndarray]] = [[] for _ in batch]
         held, size = [], 0
         for n, text in enumerate(batch):
             for part in fragments(text, self.SAFE):
-                held.append((n, part.replace("\n", " ").split(" ")))
+                held.append((n, part))
                 size += len(part)
-                if size >= FRAGMENT:
+                if size >= 4 * FRAGMENT:
                     self._flush(held, out)
                     held, size = [], 0
         self._flush(held, out)
-        return [np.frombuffer(b"".join(x), self.dtype) for x in out]
+        return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, self.dtype), *x]) for x in out]
 
-    def _flush(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+    def _flush(self, held: list[tuple[int, str]], out: list[list[np.ndarray]]) -> None:
+        """Arrow splits the texts and numbers their words, so Python sees each different word once; the
+        ids of all words are then gathered from those of the different ones."""
+        if not held:
+            return
         if len(self.words) > self.memo:
             self.words = {"": b""}
-        self._learn(set().union(*(w for _, w in held)).difference(self.words))
-        get = self.words.__getitem__
-        for n, words in held:
-            out[n].append(b"".join(map(get, words)))
+        whole = pc.replace_substring(pa.array([t for _, t in held], pa.string()), "\n", " ")
+        lists = pc.split_pattern(pc.replace_substring_regex(whole, self.STOP, r"\1 \2\3"), " ")
+        numbered = lists.flatten().dictionary_encode()
+        words = numbered.dictionary.to_pylist()
+        self._learn(set(words).difference(self.words))
+        known = [self.words[w] for w in words]
+        pool, size = np.frombuffer(b"".join(known), self.dtype), np.fromiter(map(len, known), np.int32, len(known)) // self.dtype.itemsize
+        at = numbered.indices.to_numpy()
+        sizes = size[at]
+        ends = np.append(np.int32(0), np.cumsum(sizes, dtype=np.int32))  # a flush has far fewer than 2^31 ids
+        begins = np.cumsum(size, dtype=np.int32) - size
+        found = pool[np.repeat(begins[at] - ends[:-1], sizes) + np.arange(ends[-1], dtype=np.int32)]
+        bounds = ends[lists.offsets.to_numpy()].tolist()
+        for (n, _), i, j in zip(held, bounds, bounds[1:]):
+            out[n].append(found[i:j])
 
 
 _LOADED: dict[tuple, object] = {}
