@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -50,30 +51,41 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-_SCOPES: list[list[str]] = []
+_LOCAL = threading.local()  # each thread deletes its own stages
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_LOCAL, "scopes"):
+        _LOCAL.scopes = []
+    return _LOCAL.scopes
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @contextmanager
-def temporary_stages(spark: SparkSession) -> Iterator[None]:
+def temporary_stages(spark: SparkSession) -> Iterator[list[str]]:
     """Stages that ``cut`` writes inside this block are deleted at its end; for
-    jobs that have written all their results by then."""
+    jobs that have written all their results by then. The block gets the list of
+    their paths; what it takes out of it stays."""
     mine: list[str] = []
-    _SCOPES.append(mine)
+    _scopes().append(mine)
     try:
-        yield
+        yield mine
     finally:
-        _SCOPES.remove(mine)
+        _scopes().pop()
         for path in mine:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            delete_path(spark, path)
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """End the lineage: write to the shared folder and read back. Survives the
     loss of executors, and branches after it do not compute their input twice."""
     path = fresh_path(df.sparkSession, name)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if _scopes():
+        _scopes()[-1].append(path)
     df.write.parquet(path)
     stage = df.sparkSession.read.schema(df.schema).parquet(path)
     stage._cut_path = path
@@ -82,8 +94,7 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def discard(stage: DataFrame) -> None:
     """Delete what ``cut`` wrote for ``stage``, once all that reads it is written itself."""
-    target = stage.sparkSession._jvm.org.apache.hadoop.fs.Path(stage._cut_path)
-    target.getFileSystem(stage.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    delete_path(stage.sparkSession, stage._cut_path)
 
 
 def spread(df: DataFrame) -> DataFrame:
