@@ -127,6 +127,24 @@ def pack_documents(
     return pack(token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col), capacity, max_segments)
 
 
+def pack_turns(
+    turns: DataFrame, vocabulary: str, capacity: int = 2048, max_segments: int = 64, max_loss: int | None = None, learned: tuple[str, ...] = ("assistant",),
+    end_id: int | None = 1, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
+) -> DataFrame:
+    """Instruction data: one row per piece of a turn, with id (conv_id, turn, role), loss_tokens and the columns of ``pack_documents``.
+
+    Only turns of the roles ``learned`` bear loss; of these at most ``max_loss`` tokens come into a sequence (half the capacity by default,
+    so that a batch's gradient does not hang on a few sequences), besides the limits on tokens and pieces. Pieces are as long as the
+    smaller of both limits at most, so each fits. Null roles bear none; other odd inputs are as in ``pack_documents``."""
+    max_loss = max_loss or max(1, capacity // 2)
+    plain = pick(turns, conv_id=id_col, turn=turn_col, role=role_col, text=text_col)
+    bears = F.coalesce(F.col("role").isin(*learned), F.lit(False))
+    named = plain.select(F.struct("conv_id", "turn", "role").alias("id"), "text", bears.alias("bears"))
+    found = [token_pieces(named.filter("bears"), vocabulary, min(capacity, max_loss), end_id, "id", "text").withColumn("loss_tokens", F.col("length")),
+             token_pieces(named.filter("NOT bears"), vocabulary, capacity, end_id, "id", "text").withColumn("loss_tokens", F.lit(0).cast("long"))]
+    return pack(found[0].unionByName(found[1]), capacity, max_segments, max_loss, "loss_tokens")
+
+
 def op8_columns(packed: DataFrame) -> DataFrame:
     return packed.select(F.col("id").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

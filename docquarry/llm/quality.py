@@ -199,6 +199,18 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4 == 2
 
 
+def trusted_keys(labels: DataFrame, label_id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """Keys that all their labels call good and that are not held out, with the hash that deals them to the two halves."""
+    good = pick(labels, key=label_id_col, good=label_col).groupBy("key").agg(F.min("good").alias("good"))
+    return good.filter((F.col("good") == 1) & ~held_out(F.col("key"))).select("key", F.xxhash64(F.lit(1), "key").alias("h"))
+
+
+def can_learn(keys: DataFrame, labels: DataFrame, label_id_col: str = "doc_id", label_col: str = "quality", key_col: str = "doc_id") -> bool:
+    """Whether both halves of the trusted positives, for the weights and for the prior, hold a row of the table."""
+    known = trusted_keys(labels, label_id_col, label_col).join(pick(keys, key=key_col), "key", "left_semi")
+    return known.select(F.pmod("h", F.lit(2)).alias("half")).distinct().count() == 2
+
+
 def train(rows: DataFrame, labels: DataFrame, label_id_col: str = "doc_id", label_col: str = "quality", max_positives: int = MAX_POSITIVES) -> Model:
     """Model from ``rows`` (key, bins), all of which are the unlabelled texts, and
     the keys that ``labels`` trusts to be good and that are not held out.
@@ -207,8 +219,7 @@ def train(rows: DataFrame, labels: DataFrame, label_id_col: str = "doc_id", labe
     weights and as many others estimate the class prior; everything else covers
     all rows. Labels of a key that disagree are not trusted. Without positives
     all weights are 0 and every score is 0.5."""
-    good = pick(labels, key=label_id_col, good=label_col).groupBy("key").agg(F.min("good").alias("good")).filter((F.col("good") == 1) & ~held_out(F.col("key")))
-    trusted = rows.select("key", "bins").join(good.select("key"), "key", "left_semi").withColumn("h", F.xxhash64(F.lit(1), "key"))
+    trusted = rows.select("key", "bins").join(trusted_keys(labels, label_id_col, label_col), "key")
     parts = [_matrix(pa.array([bytes(r[0]) for r in trusted.filter(F.col("h") % 2 == k if k == 0 else F.col("h") % 2 != 0)
                                .orderBy("h", "bins").limit(max_positives).select("bins").collect()], pa.binary())) for k in (0, 1)]
     if not len(parts[0]) or not len(parts[1]):

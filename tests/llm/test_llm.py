@@ -286,6 +286,40 @@ def test_packing(spark, odd):
     assert pack_documents(odd.filter("doc_id < 4"), path, end_id=None).count() == 0
 
 
+def test_turns_keep_all_three_limits(spark):
+    from tokenizers import Tokenizer
+
+    from docquarry.llm.packing import pack_turns
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    want = {(r.conv_id, r.turn): len(model.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in turns.collect()}
+    for capacity, segments, loss in ((512, 64, 128), (2048, 4, 2048), (2048, 64, 2048), (512, 64, 256)):
+        rows = pack_turns(turns, path, capacity, segments, loss).collect()
+        got = Counter()
+        for r in rows:
+            got[r.id.conv_id, r.id.turn] += r.length
+            assert r.loss_tokens == (r.length if r.id.role == "assistant" else 0)
+        assert got == want  # all tokens lie in pieces
+        bins = defaultdict(list)
+        for r in rows:
+            bins[r.sequence_id].append(r)
+        tight = Counter()
+        for b in bins.values():
+            held = (sum(r.length for r in b), len(b), sum(r.loss_tokens for r in b))
+            assert held[0] <= capacity and held[1] <= segments and held[2] <= loss
+            tight.update(k for k, (x, most) in enumerate(zip(held, (capacity, segments, loss))) if x > 0.9 * most)
+        if (segments, loss) == (64, 128):
+            assert tight[2] > len(bins) / 3  # the limit on loss binds
+        if segments == 4:
+            assert tight[1] > len(bins) / 3
+    odd_turns = spark.createDataFrame([(None, None, None, None), (1, 1, "assistant", ""), (1, 1, "assistant", ""), (2, 1, "user", "a b " * 3000)],
+                                      "conv_id long, turn int, role string, text string").withColumns({c: F.lit(1) for c in ("id", "loss", "length", "bears")})
+    rows = pack_turns(odd_turns, path, 512).collect()
+    assert sum(r.loss_tokens for r in rows) == 2 and sum(r.length for r in rows) == 3 + 6001
+    assert pack_turns(odd_turns.limit(0), path).count() == 0
+
+
 def test_fill_keeps_all_limits():
     from docquarry.llm.packing import fill
     rng = np.random.default_rng(0)
@@ -496,7 +530,7 @@ def test_pipeline(spark):
 def test_pipeline_stages_take_odd_rows(spark, odd):
     import corpus_pipeline
     docs = odd
-    for _, stage in corpus_pipeline.STAGES[1:]:  # without labels the classifier keeps none
+    for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() > 0
     empty = odd.limit(0)
@@ -505,6 +539,25 @@ def test_pipeline_stages_take_odd_rows(spark, odd):
         assert empty.count() == 0
 
 
+def test_quality_stage_without_labels_keeps_all(spark, odd, tmp_path):
+    import corpus_pipeline
+    docs = odd.select(*corpus_pipeline.COLUMNS)
+    for labels in ([], [(4, 1, 0)], [(1, 0, 0), (2, None, 0)]):  # one trusted text cannot both fit and judge
+        spark.createDataFrame(labels, LABELS).write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        assert plain(corpus_pipeline.keep_quality(spark, odd, str(tmp_path)), *docs.columns) == plain(docs, *docs.columns)
+
+
+def test_pipeline_deletes_what_it_has_read(spark):
+    import os
+
+    import corpus_pipeline
+    from docquarry.session import shared_dir
+    before = set(os.listdir(shared_dir(spark)))
+    corpus_pipeline.run(spark, SF).count()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(shared_dir(spark))) - before}
+    assert left == {"stage_decontamination", "pieces"}
+
+
 def test_no_python_on_native_paths(spark):
     from docquarry.llm.line_dedup import op9
     from docquarry.llm.licenses import op3
