@@ -1,83 +1,100 @@
-"""String similarity by longest common subsequence, as small Arrow UDFs."""
+"""String similarity by longest common subsequence, as columns."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docquarry import fixed as V
+from docquarry.functions.text import let
 
+MAX_WORD = 62  # letters of a known word: its places are bits of one number
 
-def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence; one machine-word step per letter."""
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    state = full
-    for ch in b:
-        hit = state & where.get(ch, 0)
-        state = ((state + hit) | (state - hit)) & full
-    return len(a) - bin(state).count("1")
 
+def _places(word: str, text: Column) -> Column:
+    """For every letter of ``text`` the places of the known ``word`` that have it, as bits."""
+    if len(word) > MAX_WORD:
+        raise ValueError(f"{word!r} has more than {MAX_WORD} letters")
+    bits: dict[str, int] = {}
+    for i, ch in enumerate(word):
+        bits[ch] = bits.get(ch, 0) | (1 << i)
+    known = F.create_map(*[F.lit(x) for ch, b in bits.items() for x in (ch, b)]).cast("map<string,bigint>")
+    return F.transform(F.split(text, ""), lambda ch: F.coalesce(F.element_at(known, ch), F.lit(0).cast("long")))
 
-def ratio(a: str, b: str) -> float:
-    """100 · 2·LCS / (|a|+|b|)."""
-    n = len(a) + len(b)
-    return 200.0 * _common(a, b) / n if n else 100.0
 
+def _common(places: Column, first: int | Column, size: Column) -> Column:
+    """Length of the longest common subsequence of a text, by its ``places``, and ``size`` letters of the word
+    from ``first`` on: one addition per letter, whose carries do the work of a table row."""
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), size.cast("int")) - 1
+    within = lambda m: m if isinstance(first, int) and not first else F.call_function("shiftright", m, F.lit(first) if isinstance(first, int) else first)
 
-def partial_ratio(a: str, b: str, threshold: float = 0.0) -> float:
-    """Best ratio of the shorter string with any window of the longer one;
+    def step(s, m):
+        hit = s.bitwiseAND(within(m))
+        return (s + hit).bitwiseOR(s - hit).bitwiseAND(full)
+
+    return size - F.bit_count(F.aggregate(places, full, step))
+
+
+def ratio(word: str, text: Column) -> Column:
+    """100 · 2·LCS / (sum of the lengths)."""
+    n = len(word)
+    return 200.0 * _common(_places(word, text), 0, F.lit(n)) / (F.length(text) + n)
+
+
+def partial_ratio(word: str, text: Column, threshold: float = 0.0) -> Column:
+    """Best ratio of the shorter of both with any window of the longer one;
     windows may hang over either end. Scores below ``threshold`` come back as 0.
 
-    A window that reaches the threshold differs from the string by at most
-    ``k`` insertions and deletions, so of ``k + 1`` pieces of the string one is
-    in it unchanged: only windows around a piece's occurrences are scored.
-    """
-    if len(a) > len(b):
-        a, b = b, a
-    m, n = len(a), len(b)
-    if not m:
-        return 100.0 if not n else 0.0
+    A window that reaches the threshold differs from the word by at most
+    ``k`` insertions and deletions, so of ``k + 1`` pieces of the word one is in
+    it unchanged: texts without any piece are not looked at further."""
+    m = len(word)
     k = int((1.0 - threshold / 100.0) * 2 * m + 1e-9)
-    if k + 1 > m:
-        starts = range(1 - m, n)
-    else:
+    n = F.length(text)
+
+    def inside(places):  # windows of the text
+        def one(p):
+            start = F.greatest(p, F.lit(1))
+            size = F.least(p + (m - 1), n) - start + 1
+            return 200.0 * _common(F.slice(places, start, size), 0, F.lit(m)) / (size + m)
+        return F.array_max(F.transform(F.sequence(F.lit(2 - m), n), one))
+
+    def around(places):  # windows of the word, which is longer
+        def one(p):
+            start = F.greatest(p, F.lit(1))
+            size = F.least(p + n - 1, F.lit(m)) - start + 1
+            return 200.0 * _common(places, start - 1, size) / (size + n)
+        return F.array_max(F.transform(F.sequence(2 - n, F.lit(m)), one))
+
+    best = F.when(n == 0, 0.0 if m else 100.0).when(n < m, let(_places(word, text), around))
+    if k + 1 <= m and m:
         cuts = [i * m // (k + 1) for i in range(k + 2)]
-        starts = set()
-        for lo, hi in zip(cuts, cuts[1:]):
-            at = b.find(a[lo:hi])
-            while at >= 0:
-                starts.update(range(max(1 - m, at - lo - k), min(n, at - lo + k + 1)))
-                at = b.find(a[lo:hi], at + 1)
-    best = max((ratio(a, b[max(0, i):i + m]) for i in starts), default=0.0)
-    return best if best >= threshold else 0.0
-
-
-def _first_best(scored):
-    """Highest score; the earliest wins among equals."""
-    best, value = None, 0.0
-    for score, name in scored:
-        if score > value:
-            best, value = name, score
-    return best, value
+        pieces = {word[lo:hi] for lo, hi in zip(cuts, cuts[1:])}
+        seen = None
+        for piece in sorted(pieces):
+            seen = text.contains(piece) if seen is None else seen | text.contains(piece)
+        best = best.when(~seen, 0.0)
+    best = best.otherwise(let(_places(word, text), inside))
+    return F.when(best >= threshold, best).otherwise(0.0)
 
 
 def fuzzy_carrier(tokens: Column, aliases=V.CARRIER_ALIASES, threshold: float = V.FUZZY_THRESHOLD) -> Column:
-    """Carrier whose alias is most similar to a whole token; null in, null out."""
-    @F.pandas_udf("string")
-    def detect(batch: pd.Series) -> pd.Series:
-        def one(words):
-            if words is None:
-                return None
+    """Carrier whose alias is most similar to a whole token; of equals the
+    earliest token, then the first alias. Null in, null out."""
+    def scored(alias):
+        def one(w, i):
             # lengths too far apart cannot reach the threshold
-            name, score = _first_best(
-                (ratio(w, alias), n) for w in words for n, alias in aliases
-                if 200.0 * min(len(w), len(alias)) >= threshold * (len(w) + len(alias)))
-            return name if score >= threshold else None
-        return batch.map(one).astype(object)
-    return detect(tokens)
+            near = 200.0 * F.least(F.length(w), F.lit(len(alias))) >= threshold * (F.length(w) + len(alias))
+            return F.when(near, F.struct(ratio(alias, w).alias("score"), (-i).alias("early")))
+        return one
+
+    found = []
+    for j, (name, alias) in enumerate(aliases):
+        best = F.array_max(F.transform(tokens, scored(alias)))
+        found.append(F.when(best["score"] >= threshold, F.struct(
+            best["score"].alias("score"), best["early"].alias("early"), F.lit(-j).alias("order"), F.lit(name).alias("name"))))
+    if not found:
+        return F.lit(None).cast("string")
+    return F.when(tokens.isNotNull(), F.array_max(F.array(*found))["name"])
 
 
 def fuzzy_lob(query: Column, lobs=V.LOB_KEYWORDS, threshold: float = V.FUZZY_THRESHOLD,
@@ -85,13 +102,8 @@ def fuzzy_lob(query: Column, lobs=V.LOB_KEYWORDS, threshold: float = V.FUZZY_THR
     """Line of business of the keyword found best inside the query; among equal
     scores the longer keyword wins, then the earlier one. Null in, null out."""
     words = [(kw, lob) for lob, kws in lobs for kw in kws if len(kw) >= min_keyword]
-
-    @F.pandas_udf("string")
-    def detect(batch: pd.Series) -> pd.Series:
-        def one(q):
-            if q is None or not words:
-                return None
-            score, _, lob = max(((partial_ratio(kw, q, threshold), len(kw), lob) for kw, lob in words), key=lambda t: t[:2])
-            return lob if score >= threshold else None
-        return batch.map(one).astype(object)
-    return detect(query)
+    if not words:
+        return F.lit(None).cast("string")
+    scored = [F.struct(partial_ratio(kw, query, threshold).alias("score"), F.lit(len(kw)).alias("n"), F.lit(-j).alias("order"), F.lit(lob).alias("lob"))
+              for j, (kw, lob) in enumerate(words)]
+    return F.when(query.isNotNull(), let(F.array_max(F.array(*scored)), lambda b: F.when(b["score"] >= threshold, b["lob"])))

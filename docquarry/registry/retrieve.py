@@ -1,12 +1,14 @@
 """Scope, fusion, ranking and context."""
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from docquarry import fixed as V
 from docquarry.functions import similarity as Y
 from docquarry.operators import index as X
 from docquarry.operators import retrieve as R
-from docquarry.registry.base import CARRIERS, CHUNKS, LOBS, chunks, few_questions, lit, query, questions, sql_any, stored_chunks, table
-from docquarry.registry.index import CONFIG, DETECTED, DOT, SCOPED_SCORES, TOK
+from docquarry.registry.base import CARRIERS, CHUNKS, LOBS, QUESTIONS, chunks, few_questions, lit, query, questions, sql_any, stored_chunks, table
+from docquarry.registry.index import ADMIN, CONFIG, DETECTED, DOT, LOB, SCOPED_SCORES, TOK
 from docquarry.session import cut
 
 def detected(spark, sf, vectors=False):
@@ -30,13 +32,53 @@ def messages(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.lower(said).alias("q"))
 
 
-@query("r03_fuzzy_carrier")
-def r03(spark, sf):
-    names = tuple((f"SRC{i}", f"source{i}") for i in range(20))
-    return messages(spark, sf).select("conv_id", "turn", Y.fuzzy_carrier(F.array_distinct(X.tokens(F.col("q"))), names).alias("carrier"))
+SOURCES = tuple((f"SRC{i}", f"source{i}") for i in range(20))
+MESSAGES = """msg AS (SELECT conv_id, turn, lower(concat((['sorce', 'saral suraksa ', 'retirment '])[turn % 3 + 1], conv_id % 20, ' ', text)) AS q FROM conversations)"""
+
+
+def sql_common(word, text, first="0", size=None):
+    """length of the longest common subsequence of a text and letters of a word, by the bits of the word's places"""
+    n = size or f"len({word})"
+    places = (f"list_transform(string_split({text}, ''), lambda c: CAST(list_sum(list_transform(range(0, len({word})), "
+              f"lambda k: CASE WHEN substr({word}, k + 1, 1) = c THEN 1::BIGINT << k ELSE 0 END)) AS BIGINT) >> {first})")
+    full = f"((1::BIGINT << ({n})) - 1)"
+    return f"(({n}) - bit_count(list_reduce({places}, lambda s, m: ((s + (s & m)) | (s - (s & m))) & {full}, {full})))"
 
 
-@query("r04_fuzzy_lob")
+def sql_fuzzy_carrier(source, key, text, aliases):
+    rows = ", ".join(f"({lit(n)}, {lit(a)}, {j})" for j, (n, a) in enumerate(aliases))
+    return f"""tk AS (SELECT {key}, word, min(i) AS i FROM (SELECT {key}, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM (
+  SELECT {key}, {TOK(text)} AS t FROM {source})) GROUP BY ALL),
+al(name, alias, j) AS (VALUES {rows}),
+ws AS (SELECT word, name, j, 200.0 * {sql_common('alias', 'word')} / (len(word) + len(alias)) AS score FROM (SELECT DISTINCT word FROM tk), al
+  WHERE 200.0 * least(len(word), len(alias)) >= {V.FUZZY_THRESHOLD} * (len(word) + len(alias))),
+fz AS (SELECT {key}, first(name ORDER BY score DESC, i, j) AS found FROM tk JOIN ws USING (word) WHERE score >= {V.FUZZY_THRESHOLD} GROUP BY {key})"""
+
+
+@query("r03_fuzzy_carrier", f"WITH {MESSAGES}, {sql_fuzzy_carrier('msg', 'conv_id, turn', 'q', SOURCES)} SELECT conv_id, turn, found AS carrier FROM msg LEFT JOIN fz USING (conv_id, turn)")
+def r03(spark, sf):
+    return messages(spark, sf).select("conv_id", "turn", Y.fuzzy_carrier(F.array_distinct(X.tokens(F.col("q"))), SOURCES).alias("carrier"))
+
+
+# the windows of a message that overlap a piece of a keyword; longer keywords than messages do not occur
+def sql_fuzzy_lob(source, key, text):
+    rows, pieces, j = [], [], 0
+    for lob, kws in V.LOB_KEYWORDS:
+        for kw in kws:
+            if len(kw) >= V.FUZZY_MIN_KEYWORD:
+                k = int((1 - V.FUZZY_THRESHOLD / 100) * 2 * len(kw) + 1e-9)
+                cuts = [i * len(kw) // (k + 1) for i in range(k + 2)]
+                rows.append(f"({lit(lob)}, {lit(kw)}, {j}, [{', '.join(lit(kw[lo:hi]) for lo, hi in zip(cuts, cuts[1:]))}])")
+                j += 1
+    return f"""kw(lob, word, j, pieces) AS (VALUES {', '.join(rows)}),
+win AS (SELECT DISTINCT word, substr({text}, greatest(p, 1), least(p + len(word) - 1, len({text})) - greatest(p, 1) + 1) AS w, {key} FROM (
+  SELECT {key}, {text}, word, unnest(range(2 - len(word), len({text}) + 1)) AS p FROM {source}, kw WHERE len(list_filter(pieces, lambda x: contains({text}, x))) > 0)),
+wsc AS (SELECT word, w, 200.0 * {sql_common('word', 'w')} / (len(w) + len(word)) AS score FROM (SELECT DISTINCT word, w FROM win)),
+fl AS (SELECT {key}, first(lob ORDER BY score DESC, len(word) DESC, j) AS found FROM win JOIN wsc USING (word, w) JOIN kw USING (word)
+  WHERE score >= {V.FUZZY_THRESHOLD} GROUP BY {key})"""
+
+
+@query("r04_fuzzy_lob", f"WITH {MESSAGES}, {sql_fuzzy_lob('msg', 'conv_id, turn', 'q')} SELECT conv_id, turn, found AS line_of_business FROM msg LEFT JOIN fl USING (conv_id, turn)")
 def r04(spark, sf):
     return messages(spark, sf).select("conv_id", "turn", Y.fuzzy_lob(F.col("q")).alias("line_of_business"))
 
@@ -231,3 +273,21 @@ def r23(spark, sf):
     df = R.search(stored_chunks(spark, sf, vectors=True), questions(spark, sf, vectors=True), CONFIG)
     return df.select("query_id", "rank", "chunk_id", "text", F.round("score", 6).alias("score"), F.round("semantic_score", 6).alias("semantic_score"),
                      "confidence_tier", "is_sibling_expansion", "filename", "page_number")
+
+
+# names that no question has exactly, so that only the fuzzy pass finds carriers
+MISSPELT = replace(CONFIG, carriers=tuple((n, a.replace("src", "sorc")) for n, a in CARRIERS), fuzzy=True)
+FUZZY_DETECTED = f"""{QUESTIONS}, {sql_fuzzy_carrier('qs', 'query_id', 'query', MISSPELT.carriers)},
+qd AS (SELECT query_id, query, false AS is_comparison, found AS carrier, CASE WHEN NOT {ADMIN} THEN {LOB} END AS line_of_business, {ADMIN} AS is_admin,
+  CASE WHEN {ADMIN} THEN concat(query, {lit(V.ADMIN_EXPANSION)}) ELSE query END AS search_query FROM qs LEFT JOIN fz USING (query_id))"""
+
+
+@query("r23_fuzzy_rows", f"WITH {RESULT.replace(DETECTED, FUZZY_DETECTED)} SELECT query_id, rank, chunk_id, text, round(score, 6) AS score, confidence_tier FROM rs")
+def r23f(spark, sf):
+    df = R.search(stored_chunks(spark, sf, vectors=True), questions(spark, sf, vectors=True), MISSPELT)
+    return df.select("query_id", "rank", "chunk_id", "text", F.round("score", 6).alias("score"), "confidence_tier")
+
+
+@query("r03_fuzzy_scope", f"WITH {FUZZY_DETECTED} SELECT query_id, carrier, line_of_business, is_admin FROM qd")
+def r03s(spark, sf):
+    return R.detect_scope(questions(spark, sf), MISSPELT).select("query_id", "carrier", "line_of_business", "is_admin")

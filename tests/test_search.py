@@ -11,30 +11,6 @@ from docquarry.operators import index as X
 from docquarry.operators import retrieve as R
 
 
-def test_similarity_against_brute_force():
-    def lcs(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            prev = 0
-            for j, y in enumerate(b, 1):
-                prev, row[j] = row[j], prev + 1 if x == y else max(row[j], row[j - 1])
-        return row[-1]
-
-    def brute(a, b):
-        a, b = sorted((a, b), key=len)
-        m = len(a)
-        return max(200.0 * lcs(a, b[max(0, i):i + m]) / (m + len(b[max(0, i):i + m])) for i in range(1 - m, len(b)))
-
-    rng = random.Random(5)
-    word = lambda n: "".join(rng.choice("abc ") for _ in range(n))
-    for _ in range(1500):
-        a, b = word(rng.randint(1, 14)), word(rng.randint(1, 25))
-        assert Y.ratio(a, b) == pytest.approx(200.0 * lcs(a, b) / (len(a) + len(b)))
-        best = brute(a, b)
-        assert Y.partial_ratio(a, b) == pytest.approx(best)
-        assert Y.partial_ratio(a, b, 85.0) == pytest.approx(best if best >= 85 else 0.0)
-
-
 def test_fuzzy_names(spark):
     df = spark.createDataFrame([("what does the hdfcc plan say",), ("saral suraksha byma cover",), ("corana rakshak limits",), ("nothing here",), (None,)], "q string")
     got = df.select(Y.fuzzy_carrier(X.tokens(F.col("q"))), Y.fuzzy_lob(F.col("q"))).collect()
