@@ -1,6 +1,8 @@
 """String similarity by longest common subsequence, as columns."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,100 +12,131 @@ from docquarry.functions.text import let
 MAX_WORD = 62  # letters of a known word: its places are bits of one number
 
 
-def _places(word: str, text: Column) -> Column:
-    """For every letter of ``text`` the places of the known ``word`` that have it, as bits."""
-    if len(word) > MAX_WORD:
-        raise ValueError(f"{word!r} has more than {MAX_WORD} letters")
-    bits: dict[str, int] = {}
-    for i, ch in enumerate(word):
-        bits[ch] = bits.get(ch, 0) | (1 << i)
-    known = F.create_map(*[F.lit(x) for ch, b in bits.items() for x in (ch, b)]).cast("map<string,bigint>")
-    return F.transform(F.split(text, ""), lambda ch: F.coalesce(F.element_at(known, ch), F.lit(0).cast("long")))
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _known(words: list[tuple[str, str, str]]) -> Column:
+    """(places of every letter as bits, letters, what it stands for, pattern of ``_may_hold``) of known words, as one literal."""
+    rows = []
+    for word, name, pattern in words:
+        if not 0 < len(word) <= MAX_WORD:
+            raise ValueError(f"{word!r} has no letters or more than {MAX_WORD}")
+        bits: dict[str, int] = {}
+        for i, ch in enumerate(word):
+            bits[ch] = bits.get(ch, 0) | (1 << i)
+        letters = ", ".join(f"{_sql(ch)}, {b}L" for ch, b in bits.items())
+        rows.append(f"named_struct('bits', map({letters}), 'm', {len(word)}, 'name', {_sql(name)}, 'pattern', {_sql(pattern)})")
+    return F.expr(f"array({', '.join(rows)})")
+
+
+def _places(bits: Column, text: Column) -> Column:
+    """For every letter of ``text`` its places in a known word, as bits."""
+    return F.transform(F.split(text, ""), lambda ch: F.coalesce(F.element_at(bits, ch), F.lit(0).cast("long")))
 
 
-def _common(places: Column, first: int | Column, size: Column) -> Column:
+def _common(places: Column, first: Column, size: Column) -> Column:
     """Length of the longest common subsequence of a text, by its ``places``, and ``size`` letters of the word
     from ``first`` on: one addition per letter, whose carries do the work of a table row."""
-    full = F.call_function("shiftleft", F.lit(1).cast("long"), size.cast("int")) - 1
-    within = lambda m: m if isinstance(first, int) and not first else F.call_function("shiftright", m, F.lit(first) if isinstance(first, int) else first)
+    shift = lambda name, x, by: F.call_function(name, x, by.cast("int"))
 
-    def step(s, m):
-        hit = s.bitwiseAND(within(m))
-        return (s + hit).bitwiseOR(s - hit).bitwiseAND(full)
+    def step(acc, m):
+        hit = acc["s"].bitwiseAND(shift("shiftright", m, first))
+        return F.struct((acc["s"] + hit).bitwiseOR(acc["s"] - hit).bitwiseAND(acc["full"]).alias("s"), acc["full"].alias("full"))
 
-    return size - F.bit_count(F.aggregate(places, full, step))
+    full = shift("shiftleft", F.lit(1).cast("long"), size) - 1
+    return size - F.aggregate(places, F.struct(full.alias("s"), full.alias("full")), step, lambda acc: F.bit_count(acc["s"]))
+
+
+def _ratio(k: Column, text: Column) -> Column:
+    return 200.0 * _common(_places(k["bits"], text), F.lit(0), k["m"]) / (F.length(text) + k["m"])
 
 
 def ratio(word: str, text: Column) -> Column:
     """100 · 2·LCS / (sum of the lengths)."""
-    n = len(word)
-    return 200.0 * _common(_places(word, text), 0, F.lit(n)) / (F.length(text) + n)
+    return _ratio(_known([(word, "", "")])[0], text)
+
+
+def _letter(ch: str) -> str:
+    return ch if ch.isalnum() or ch == " " else "\\" + ch
+
+
+def _may_hold(word: str, threshold: float) -> str:
+    """Pattern without which no window as long as the word can reach the threshold. Such a window has all but ``d`` of the
+    word's letters in order and ``d`` others: it is the word; or the word without a letter and with any other one; or, as
+    2 d changes leave one of 2 d + 1 pieces of the word alone, it has such a piece."""
+    m = len(word)
+    d = m - math.ceil(threshold * m / 100 - 1e-9)
+    quoted = lambda part: "".join(map(_letter, part))
+    if d == 0:
+        return quoted(word)
+    if d == 1:
+        less = {word[:i] + word[i + 1:] for i in range(m)}
+        return "(?s)" + "|".join(sorted({quoted(w[:j]) + "." + quoted(w[j:]) for w in less for j in range(m)}))
+    cuts = [i * m // (2 * d + 1) for i in range(2 * d + 2)]
+    return "|".join(sorted({quoted(word[lo:hi]) for lo, hi in zip(cuts, cuts[1:])}))  # of an empty piece: all
+
+
+def _partial_ratio(k: Column, text: Column, threshold: float) -> Column:
+    m, n = k["m"], F.length(text)
+    score = lambda common, size: 200.0 * common / (size + m)
+    best = lambda sizes, one: F.coalesce(F.array_max(F.transform(sizes, one)), F.lit(0.0))
+    least = F.greatest(F.ceil(m * threshold / (200.0 - threshold) - 1e-9).cast("int"), F.lit(1))
+    sizes = F.filter(F.sequence(F.lit(1), m), lambda e: (e >= least) & (e < m))  # of windows over an end
+    zero = F.lit(0)
+
+    def end(part, start):  # windows of the first or last m - 1 letters that begin or end with the text
+        return let(_places(k["bits"], part), lambda p: best(sizes, lambda e: score(_common(F.slice(p, start(e), e), zero, m), e)))
+
+    inside = let(_places(k["bits"], text), lambda p: best(
+        F.sequence(F.lit(1), n - m + 1), lambda i: score(_common(F.slice(p, i, m), zero, m), m)))
+
+    def one(p):  # windows of the word, which is longer
+        def at(i):
+            start = F.greatest(i, F.lit(1))
+            size = F.least(i + n - 1, m) - start + 1
+            return 200.0 * _common(p, start - 1, size) / (size + n)
+        return best(F.sequence(2 - n, m), at)
+
+    found = F.when(n == 0, 0.0).when(n < m, let(_places(k["bits"], text), one)).otherwise(F.greatest(
+        end(F.left(text, m - 1), lambda e: F.lit(1)), end(F.right(text, m - 1), lambda e: m - e),
+        F.when(F.regexp_like(text, k["pattern"]), inside).otherwise(0.0)))
+    return let(found, lambda x: F.when(x >= threshold, x).otherwise(0.0))
 
 
 def partial_ratio(word: str, text: Column, threshold: float = 0.0) -> Column:
     """Best ratio of the shorter of both with any window of the longer one;
     windows may hang over either end. Scores below ``threshold`` come back as 0.
 
-    A window that reaches the threshold differs from the word by at most
-    ``k`` insertions and deletions, so of ``k + 1`` pieces of the word one is in
-    it unchanged: texts without any piece are not looked at further."""
-    m = len(word)
-    k = int((1.0 - threshold / 100.0) * 2 * m + 1e-9)
-    n = F.length(text)
-
-    def inside(places):  # windows of the text
-        def one(p):
-            start = F.greatest(p, F.lit(1))
-            size = F.least(p + (m - 1), n) - start + 1
-            return 200.0 * _common(F.slice(places, start, size), 0, F.lit(m)) / (size + m)
-        return F.array_max(F.transform(F.sequence(F.lit(2 - m), n), one))
-
-    def around(places):  # windows of the word, which is longer
-        def one(p):
-            start = F.greatest(p, F.lit(1))
-            size = F.least(p + n - 1, F.lit(m)) - start + 1
-            return 200.0 * _common(places, start - 1, size) / (size + n)
-        return F.array_max(F.transform(F.sequence(2 - n, F.lit(m)), one))
-
-    best = F.when(n == 0, 0.0 if m else 100.0).when(n < m, let(_places(word, text), around))
-    if k + 1 <= m and m:
-        cuts = [i * m // (k + 1) for i in range(k + 2)]
-        pieces = {word[lo:hi] for lo, hi in zip(cuts, cuts[1:])}
-        seen = None
-        for piece in sorted(pieces):
-            seen = text.contains(piece) if seen is None else seen | text.contains(piece)
-        best = best.when(~seen, 0.0)
-    best = best.otherwise(let(_places(word, text), inside))
-    return F.when(best >= threshold, best).otherwise(0.0)
+    Windows as long as the word are looked at only where ``_may_hold`` says so; of those that hang
+    over an end, only as many as are long enough."""
+    return let(_known([(word, "", _may_hold(word, threshold))])[0], lambda k: _partial_ratio(k, text, threshold))
 
 
 def fuzzy_carrier(tokens: Column, aliases=V.CARRIER_ALIASES, threshold: float = V.FUZZY_THRESHOLD) -> Column:
     """Carrier whose alias is most similar to a whole token; of equals the
     earliest token, then the first alias. Null in, null out."""
-    def scored(alias):
+    if not aliases:
+        return F.lit(None).cast("string")
+
+    def best(k, j):
         def one(w, i):
             # lengths too far apart cannot reach the threshold
-            near = 200.0 * F.least(F.length(w), F.lit(len(alias))) >= threshold * (F.length(w) + len(alias))
-            return F.when(near, F.struct(ratio(alias, w).alias("score"), (-i).alias("early")))
-        return one
-
-    found = []
-    for j, (name, alias) in enumerate(aliases):
-        best = F.array_max(F.transform(tokens, scored(alias)))
-        found.append(F.when(best["score"] >= threshold, F.struct(
-            best["score"].alias("score"), best["early"].alias("early"), F.lit(-j).alias("order"), F.lit(name).alias("name"))))
-    if not found:
-        return F.lit(None).cast("string")
-    return F.when(tokens.isNotNull(), F.array_max(F.array(*found))["name"])
+            near = 200.0 * F.least(F.length(w), k["m"]) >= threshold * (F.length(w) + k["m"])
+            return F.when(near, F.struct(_ratio(k, w).alias("score"), (-i).alias("early"), (-j).alias("order"), k["name"].alias("name")))
+        return F.array_max(F.transform(tokens, one))
+
+    found = F.array_max(F.transform(_known([(alias, name, "") for name, alias in aliases]), best))
+    return let(found, lambda b: F.when(b["score"] >= threshold, b["name"]))
 
 
 def fuzzy_lob(query: Column, lobs=V.LOB_KEYWORDS, threshold: float = V.FUZZY_THRESHOLD,
               min_keyword: int = V.FUZZY_MIN_KEYWORD) -> Column:
     """Line of business of the keyword found best inside the query; among equal
     scores the longer keyword wins, then the earlier one. Null in, null out."""
-    words = [(kw, lob) for lob, kws in lobs for kw in kws if len(kw) >= min_keyword]
+    words = [(kw, lob, _may_hold(kw, threshold)) for lob, kws in lobs for kw in kws if len(kw) >= min_keyword]
     if not words:
         return F.lit(None).cast("string")
-    scored = [F.struct(partial_ratio(kw, query, threshold).alias("score"), F.lit(len(kw)).alias("n"), F.lit(-j).alias("order"), F.lit(lob).alias("lob"))
-              for j, (kw, lob) in enumerate(words)]
-    return F.when(query.isNotNull(), let(F.array_max(F.array(*scored)), lambda b: F.when(b["score"] >= threshold, b["lob"])))
+    scored = let(query, lambda q: F.transform(_known(words), lambda k, j: F.struct(
+        _partial_ratio(k, q, threshold).alias("score"), k["m"].alias("n"), (-j).alias("order"), k["name"].alias("lob"))))
+    return F.when(query.isNotNull(), let(F.array_max(scored), lambda b: F.when(b["score"] >= threshold, b["lob"])))
