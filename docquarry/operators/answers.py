@@ -1,6 +1,8 @@
 """What is made of search results besides the generated text."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +83,35 @@ def query_log_summary(log: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("queries"), F.round(F.avg("latency_ms"), 4).alias("avg_latency_ms"),
         F.max("latency_ms").alias("max_latency_ms"), F.round(F.avg("top_score"), 6).alias("avg_top_score"),
         F.count_if("generation_degraded").alias("degraded"))
+
+
+ACCURACY = 0.01  # of percentiles, relative
+
+
+def _step(accuracy: float) -> float:
+    return math.log((1 + accuracy) / (1 - accuracy))
+
+
+def latency_sketch(log: DataFrame, *keys: str, value: str = "latency_ms", accuracy: float = ACCURACY) -> DataFrame:
+    """(keys, bucket, n): how many values lie in each bucket; all of a bucket are within ``accuracy`` of its middle.
+
+    Buckets grow by a constant factor, so a key has some thousand at most, whatever its rows, and a task sends one
+    row for each. Values of 0 or less are the bucket null; null values are left out."""
+    v = F.col(value).cast("double")
+    bucket = F.when(v > 0, F.ceil(F.log(v) / F.lit(_step(accuracy))).cast("int"))
+    return log.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_sketches(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Sketches of parts (days, say) as one per ``keys``: counts are added, nothing is lost."""
+    return sketches.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+
+
+def percentiles(sketch: DataFrame, *keys: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99), accuracy: float = ACCURACY) -> DataFrame:
+    """(keys, p50, p95, ...): the values of rank ceil(share * n), within ``accuracy``; of the bucket null it is 0."""
+    by = Window.partitionBy(*keys)
+    below = F.sum("n").over(by.orderBy(F.asc_nulls_first("bucket")))  # a row per bucket, not per value
+    middle = F.coalesce(2 * F.exp(F.col("bucket") * _step(accuracy)) / (1 + math.exp(_step(accuracy))), F.lit(0.0))
+    at = sketch.withColumn("_below", below).withColumn("_all", F.sum("n").over(by)).withColumn("_value", middle)
+    reached = lambda p: F.min(F.when(F.col("_below") >= F.ceil(F.lit(p) * F.col("_all")), F.col("_value")))
+    return at.groupBy(*keys).agg(*[reached(p).alias(f"p{round(100 * p)}") for p in shares])

@@ -67,3 +67,19 @@ def g07(spark, sf):
     return G.query_log_summary(table(spark, sf, "events").select(
         F.col("event_type").alias("confidence_tier"), F.col("value").alias("latency_ms"), (F.col("value") / 100).alias("top_score"),
         (F.col("user_id") % 2 == 0).alias("generation_degraded")))
+
+
+STEP = "ln(1.01 / 0.99)"
+
+
+@query("g07_latency_percentiles", f"""WITH b AS (SELECT event_type AS confidence_tier, CASE WHEN value > 0 THEN CAST(ceil(ln(value) / {STEP}) AS INTEGER) END AS bucket, count(*) AS n
+  FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT *, sum(n) OVER (PARTITION BY confidence_tier ORDER BY bucket NULLS FIRST) AS below, sum(n) OVER (PARTITION BY confidence_tier) AS total,
+  coalesce(2 * exp(bucket * {STEP}) / (1 + 1.01 / 0.99), 0) AS v FROM b)
+SELECT confidence_tier, {', '.join(f"round(min(v) FILTER (WHERE below >= ceil({p} * total)), 6) AS p{round(100 * p)}" for p in (0.5, 0.95, 0.99))} FROM c GROUP BY 1""")
+def g07p(spark, sf):
+    # a sketch per day and tier, as the log is written; those of all days are merged
+    log = table(spark, sf, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("confidence_tier"), F.col("value").alias("latency_ms"))
+    whole = G.merge_sketches(G.latency_sketch(log, "day", "confidence_tier"), "confidence_tier")
+    found = G.percentiles(whole, "confidence_tier")
+    return found.select("confidence_tier", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
