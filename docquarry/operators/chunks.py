@@ -289,10 +289,10 @@ def document_offsets(counts: DataFrame, order: str = "relative_path") -> DataFra
         "offset", F.col("_start") + F.coalesce(inside, F.lit(0))).drop("_rid", "_part", "_start", "n")
 
 
-def index_chunks(chunks: DataFrame, order: str = "relative_path") -> DataFrame:
+def index_chunks(chunks: DataFrame, order: str = "relative_path", stored: bool = False) -> DataFrame:
     """``chunk_index`` over the corpus, documents in path order. The chunks are
-    written first: they are read for the counts and for the result."""
-    chunks = cut(chunks, "chunks")
+    written first, unless they are stored: they are read for the counts and for the result."""
+    chunks = chunks if stored else cut(chunks, "chunks")
     counts = chunks.groupBy("document_id").agg(F.first(order).alias(order), F.count(F.lit(1)).alias("n"))
     offsets = document_offsets(counts, order).drop(order)
     return chunks.join(offsets, "document_id").withColumn(

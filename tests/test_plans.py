@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from docquarry.operators import index as X
 from docquarry.operators.retrieve import SearchConfig
 from docquarry.plans.benchmark import run_benchmark
-from docquarry.plans.ingest import ingest, read_chunks
+from docquarry.plans.ingest import ingest, open_corpus
 from docquarry.session import fresh_path, shared_dir
 
 WORDING = ["SBI Saral Suraksha\n1 Coverage\n1.1 Base Covers\nOn death of the insured person 100% of the sum insured is payable to the nominee.\n"
@@ -21,17 +21,18 @@ def test_documents_to_answers(spark):
     pages = spark.createDataFrame(rows, "relative_path string, page int, text string, alt_text string")
     out = fresh_path(spark, "corpus")
     before = set(os.listdir(shared_dir(spark)))
-    ingest(pages, out)
+    ingest(pages, out, buckets=4)
     assert set(os.listdir(shared_dir(spark))) - before == {os.path.basename(out)}  # no stage is left behind
-    docs = {r["source"]: r for r in spark.read.parquet(f"{out}/documents").collect()}
+    corpus = open_corpus(spark, out)
+    docs = {r["source"]: r for r in corpus.documents.collect()}
     # of two files with one first page the first path stays
     assert set(docs) == {"home_brochure.txt", "z_copy.txt", "scan.txt"}
     assert (docs["home_brochure.txt"]["carrier"], docs["home_brochure.txt"]["line_of_business"]) == ("HDFC", "home")
-    catalog = read_chunks(spark, f"{out}/catalog")
+    catalog = corpus.catalog
     texts = [r["text"] for r in catalog.select("text").collect()]
     assert any("loan protection cover" in t for t in texts) and any("Table (Coverage): Building = Brick" in t for t in texts)
-    metrics = spark.read.json(f"{out}/reports/metrics").first()
-    assert (metrics["documents"], metrics["pages"]) == (3, 4) and metrics["chunks"] == spark.read.parquet(f"{out}/chunks").count()
+    metrics = corpus.report("metrics").first()
+    assert (metrics["documents"], metrics["pages"]) == (3, 4) and metrics["chunks"] == corpus.chunks.count()
 
     vectors = X.encode_hashed(catalog, spark.createDataFrame([(0, "x")], "query_id long, query string"))[0]
     items = spark.createDataFrame([
@@ -40,7 +41,7 @@ def test_documents_to_answers(spark):
         (3, "capital of Mars", "Planets", ["Mars"], []),
     ], "query_id long, query string, expected_heading string, expected_keywords array<string>, negative_keywords array<string>")
     asked = X.encode_hashed(catalog, items)[1]
-    got = run_benchmark(vectors, asked, SearchConfig(), X.read_index(spark, f"{out}/keyword_index"))
+    got = run_benchmark(vectors, asked, SearchConfig(), corpus.index)
     ranks = {r["query_id"]: (r["hit"], r["rank"]) for r in got["queries"].collect()}
     assert ranks[1] == (True, 1) and ranks[2] == (True, 1) and ranks[3] == (False, -1)
     assert got["summary"].first()["hit_rate"] == 0.6667
