@@ -32,7 +32,7 @@ def document_stats(chunks: DataFrame) -> DataFrame:
 def corpus_report(chunks: DataFrame) -> DataFrame:
     """Totals over the corpus; blank chunks do not take part in the duplicate
     test. The median is exact: sizes are counted first, so what is sorted are
-    the distinct sizes."""
+    the distinct sizes. Without chunks, ratios and means are null."""
     text = F.col("page_content")
     blank = strip(F.coalesce(text, F.lit(""))) == ""
     n = F.length(F.coalesce(text, F.lit("")))
@@ -49,11 +49,11 @@ def corpus_report(chunks: DataFrame) -> DataFrame:
     # three single-row tables
     return texts.join(F.broadcast(sizes), how="cross").join(F.broadcast(docs), how="cross").select(
         "documents_processed", "total_chunks", "unique_chunks", dup.alias("duplicate_chunks"),
-        F.round(dup / F.col("total_chunks"), 4).alias("duplicate_ratio"), "empty_chunks",
+        F.round(F.try_divide(dup, F.col("total_chunks")), 4).alias("duplicate_ratio"), "empty_chunks",
         (dup + F.col("empty_chunks")).alias("skipped_chunks"),
-        F.round(F.col("s") / F.col("total_chunks"), 1).alias("average_chunk_size"),
+        F.round(F.try_divide("s", "total_chunks"), 1).alias("average_chunk_size"),
         F.floor("m").cast("int").alias("median_chunk_length"), "max_chunk_length", "min_chunk_length",
-        F.round(F.col("total_chunks") / F.col("documents_processed"), 1).alias("average_chunks_per_document"))
+        F.round(F.try_divide("total_chunks", "documents_processed"), 1).alias("average_chunks_per_document"))
 
 
 def type_histogram(chunks: DataFrame) -> DataFrame:
@@ -61,8 +61,8 @@ def type_histogram(chunks: DataFrame) -> DataFrame:
 
 
 def metadata_completeness(chunks: DataFrame, keys=V.COMPLETENESS_KEYS) -> DataFrame:
-    """Share of chunks with a value, per key; one pass, then unpivoted."""
-    share = lambda k: F.round(F.count_if(F.col(k).isNotNull() & (F.col(k).cast("string") != "")) / F.count(F.lit(1)), 3).alias(k)
+    """Share of chunks with a value, per key; one pass, then unpivoted. Null without chunks."""
+    share = lambda k: F.round(F.try_divide(F.count_if(F.col(k).isNotNull() & (F.col(k).cast("string") != "")), F.count(F.lit(1))), 3).alias(k)
     return chunks.agg(*[share(k) for k in keys]).unpivot([], list(keys), "key", "completeness")
 
 
