@@ -255,6 +255,7 @@ EVAL_DURATION = r"\b\d+\s*(?:day|days|month|months|year|years|week|weeks|hour|ho
 EVAL_MONEY = r"(?:₹|rs\.?|inr)\s*\d+[\d,]*"
 RANK_STOP = ("policy", "policies", "insurance", "under", "about", "wording", "wordings", "what",
              "where", "when", "does")
+ROUTING_STOP = ("policy", "policies", "insurance", "under", "about", "wording", "wordings")
 RANK_BOILERPLATE = ("cin:", "u66000mh", "tollfree", "toll free", "customer care",
                     "customer.care", "email:", "website:", "registered office",
                     "corporate office", "regd office", "irdai reg", "lotus park",

@@ -92,14 +92,17 @@ def _step(accuracy: float) -> float:
     return math.log((1 + accuracy) / (1 - accuracy))
 
 
+def latency_bucket(value: Column, accuracy: float = ACCURACY) -> Column:
+    return F.when(value > 0, F.ceil(F.log(value) / F.lit(_step(accuracy))).cast("int"))
+
+
 def latency_sketch(log: DataFrame, *keys: str, value: str = "latency_ms", accuracy: float = ACCURACY) -> DataFrame:
     """(keys, bucket, n): how many values lie in each bucket; all of a bucket are within ``accuracy`` of its middle.
 
     Buckets grow by a constant factor, so a key has some thousand at most, whatever its rows, and a task sends one
     row for each. Values of 0 or less are the bucket null; null values are left out."""
     v = F.col(value).cast("double")
-    bucket = F.when(v > 0, F.ceil(F.log(v) / F.lit(_step(accuracy))).cast("int"))
-    return log.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return log.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, latency_bucket(v, accuracy).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_sketches(sketches: DataFrame, *keys: str) -> DataFrame:

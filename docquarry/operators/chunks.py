@@ -340,10 +340,22 @@ def markdown_sections(text: Column) -> Column:
     return F.flatten(F.transform(parts, sized))
 
 
-def parent_children(pages: DataFrame) -> DataFrame:
-    """Heading sections as parents, 350-character children carrying the parent."""
-    parents = pages.select("document_id", "page", F.posexplode(markdown_sections(F.col("text"))).alias("parent_no", "parent_text"))
-    return parents.select("*", F.posexplode(char_windows(F.col("parent_text"), V.CHILD_CHARS, V.CHILD_OVERLAP)).alias("child_no", "child_text"))
+def parent_children(pages: DataFrame, segmented: bool = False) -> DataFrame:
+    """Heading sections as parents, 350-character children carrying the parent.
+
+    ``chunk_index`` counts the children of a document from 0, over pages, parents
+    and children in order; ``chunk_id`` is ``{document_id}_{chunk_index}``. A page's
+    children are made in its row, so only their numbers run along the document.
+    ``pages``: document_id, page (one row each), seg, text; null texts have no children."""
+    cut_up = F.transform(markdown_sections(F.col("text")), lambda p: F.struct(
+        p.alias("parent_text"), char_windows(p, V.CHILD_CHARS, V.CHILD_OVERLAP).alias("children")))
+    rows = F.flatten(F.transform(cut_up, lambda p, i: F.transform(p.children, lambda c, j: F.struct(
+        i.alias("parent_no"), p.parent_text.alias("parent_text"), j.alias("child_no"), c.alias("child_text")))))
+    split = pages.select("document_id", "page", "seg", F.coalesce(rows, F.array()).alias("_rows"))
+    upto = S.running_total(split, ["page"], F.size("_rows"), "_upto", segmented)
+    out = upto.select("document_id", "page", (F.col("_upto") - F.size("_rows")).alias("_before"), F.posexplode("_rows").alias("_at", "_r"))
+    index = (F.col("_before") + F.col("_at")).alias("chunk_index")
+    return out.select("document_id", "page", index, F.concat_ws("_", "document_id", index).alias("chunk_id"), "_r.*")
 
 
 def heading_candidate(line: Column) -> Column:

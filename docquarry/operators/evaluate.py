@@ -1,6 +1,7 @@
 """Quality of search results and answers, and tuning of the ranking weights."""
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -10,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry import fixed as V
-from docquarry.functions.joins import keep_first
+from docquarry.functions.joins import guarded_join, keep_first
 from docquarry.functions.text import contains_any, let, rx, strip, tokens
 from docquarry.operators.index import top_k
+from docquarry.session import cut
 
 
 def _count(words: Column, text: Column) -> Column:
@@ -75,6 +77,47 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def _meeting(sets: DataFrame, within: list[str], key: str, above: float) -> DataFrame:
+    """Pairs (within, key_a, key_b), key_a < key_b, of ``sets`` (within, key, w, n) that share one of the first
+    words of both and whose sizes are near enough. Words travel one by one; the sets do not."""
+    heads = sets.filter("n > 0").select(*within, key, "n", F.explode(
+        F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") * above).cast("int") + 1)).alias("t"))
+    side = lambda s: heads.select(*within, "t", F.col(key).alias(f"{key}_{s}"), F.col("n").alias(f"n_{s}"))
+    near = (F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.least("n_a", "n_b") >= above * F.greatest("n_a", "n_b"))
+    return side("a").join(side("b"), [*within, "t"]).filter(near).select(*within, f"{key}_a", f"{key}_b").distinct()
+
+
+FREQUENT = 0.001  # share of all different sets; words of more come last in the order
+
+
+def corpus_duplicates(texts: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
+                      above: float = V.DUPLICATE_JACCARD) -> tuple[DataFrame, DataFrame]:
+    """Texts of a whole corpus with nearly the same words: (id, class_id) of every row, and pairs
+    (class_a, class_b, similarity), class_a < class_b, of classes whose Jaccard is above the threshold.
+
+    Rows of the same set of words are one class, named by its smallest id, however many they are. Words are ordered
+    by their hash, but those of more than ``FREQUENT`` of the classes come after all others, by falling number of
+    classes; so texts meet by words that few have. There are at most 1,000 times as many such words as a text has on
+    average; they are broadcast only if they are measured as small. Null and empty texts have no words: one class
+    without pairs. Null ids name no class but one that has no other; other columns are not read."""
+    bare = texts.select(texts[id_col].alias("id"), F.array_sort(F.array_distinct(tokens(texts[text_col]))).alias("w"))
+    named = bare.withColumn("key", F.md5(F.array_join("w", " ").cast("binary")))
+    classes = cut(named.groupBy("key").agg(F.min("id").alias("class_id"), F.min("w").alias("w")), "word_sets")
+    member = guarded_join(named.select("id", "key"), classes.select("key", "class_id"), ["key"], spread=F.col("id")).select("id", "class_id")
+    total = classes.count()
+    words = classes.select("key", F.explode("w").alias("t"))
+    often = cut(words.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > max(FREQUENT * total, 1)), "word_often")
+    placed = guarded_join(words, often, ["t"], "left", spread=F.col("key"))
+    order = F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.xxhash64("t").alias("h"), F.col("t").alias("t"))
+    sets = placed.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x.t).alias("w"))
+    sets = cut(sets.join(classes.select("key", "class_id"), "key").select("class_id", "w", F.size("w").alias("n")), "word_sets")
+    met = _meeting(sets, [], "class_id", above)
+    side = lambda s: sets.select(F.col("class_id").alias(f"class_id_{s}"), F.col("w").alias(f"w_{s}"))
+    both = met.join(side("a"), "class_id_a").join(side("b"), "class_id_b").withColumn("similarity", jaccard(F.col("w_a"), F.col("w_b")))
+    pairs = both.filter(F.col("similarity") > above)
+    return member, pairs.select(F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b"), "similarity")
+
+
 def near_duplicates(results: DataFrame, above: float = V.DUPLICATE_JACCARD) -> DataFrame:
     """Number of pairs of a query's results with nearly the same words.
 
@@ -85,12 +128,10 @@ def near_duplicates(results: DataFrame, above: float = V.DUPLICATE_JACCARD) -> D
     a query; any number of results may belong to one."""
     words = F.array_sort(F.transform(F.array_distinct(tokens(F.col("text"))), lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t"))))
     sets = results.select("query_id", "rank", F.transform(words, lambda x: x.t).alias("w")).withColumn("n", F.size("w"))
-    heads = sets.filter("n > 0").withColumn("t", F.explode(F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") * above).cast("int") + 1)))
-    a, b = heads.select("query_id", "t", *[F.col(c).alias(f"{c}_a") for c in ("rank", "n", "w")]), heads.select(
-        "query_id", "t", *[F.col(c).alias(f"{c}_b") for c in ("rank", "n", "w")])
-    near = (F.col("rank_a") < F.col("rank_b")) & (F.least("n_a", "n_b") >= above * F.greatest("n_a", "n_b"))
-    met = a.join(b, ["query_id", "t"]).filter(near).filter(jaccard(F.col("w_a"), F.col("w_b")) > above)
-    pairs = met.select("query_id", "rank_a", "rank_b").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("_pairs"))
+    met = _meeting(sets, ["query_id"], "rank", above)
+    side = lambda s: sets.select("query_id", F.col("rank").alias(f"rank_{s}"), F.col("w").alias(f"w_{s}"))
+    alike = met.join(side("a"), ["query_id", "rank_a"]).join(side("b"), ["query_id", "rank_b"]).filter(jaccard(F.col("w_a"), F.col("w_b")) > above)
+    pairs = alike.groupBy("query_id").agg(F.count(F.lit(1)).alias("_pairs"))
     counts = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"))
     return counts.join(pairs, "query_id", "left").select("query_id", "results", F.coalesce("_pairs", F.lit(0)).cast("int").alias("duplicate_pairs"))
 
@@ -225,10 +266,17 @@ def evaluation_set(chunks: DataFrame, size: int = V.EVAL_SIZE) -> DataFrame:
 
 
 # --- ranking features and weights ---------------------------------------------------------
+PARTS = ("rrf", "meta_score", "specificity", "coverage")
+
+
 def rerank_features(candidates: DataFrame, expansions: dict[str, tuple[str, ...]] | None = None,
                     known_carriers: tuple[str, ...] = ()) -> DataFrame:
     """Features of (query, chunk) candidates: meta_score, specificity, coverage,
-    boost, penalty. ``policy`` is the policy detected in the query, or null."""
+    boost, penalty. ``policy`` is the policy detected in the query, or null or blank.
+
+    For routing, the words of three characters or more count, and where
+    ``product_name`` is blank those of ``product``, if there is such a column. A
+    known carrier without such words is never asked for."""
     blank = lambda c: F.lower(F.coalesce(F.col(c).cast("string"), F.lit("")))
     title, path, carrier, product = blank("section_title"), blank("heading_path"), blank("carrier"), blank("product_name")
     content = F.lower(strip(F.coalesce("page_content", F.lit(""))))
@@ -251,15 +299,18 @@ def rerank_features(candidates: DataFrame, expansions: dict[str, tuple[str, ...]
     plain = F.regexp_replace(c, "[_-]+", " ")
     noise = sum((F.when(plain.contains(t), 1).otherwise(0) + F.when(path.contains(t), 2).otherwise(0) for t in V.RANK_BOILERPLATE), F.lit(0))
     priority = F.coalesce(F.when(F.col("document_priority") != 0, F.col("document_priority")), F.lit(100)) / 100.0
-    words = lambda x: F.array_except(F.array_distinct(tokens(x)), stop)
+    plainly = F.array(*[F.lit(w) for w in V.ROUTING_STOP])
+    words = lambda x: F.array_except(F.array_distinct(tokens(x)), plainly)
+    named = F.when(product != "", product).otherwise(blank("product")) if "product" in candidates.columns else product
     policy, carrier_words = words(blank("policy")), words(carrier)
-    routed = F.arrays_overlap(policy, words(product)) | F.arrays_overlap(policy, carrier_words)
+    routed = F.arrays_overlap(policy, words(named)) | F.arrays_overlap(policy, carrier_words)
+    names = [sorted(set(re.findall(r"\w{3,}", name.lower())) - set(V.ROUTING_STOP)) for name in known_carriers]
     others = [
-        reduce(lambda a, b: a & b, [F.lower("query").contains(w) for w in name.lower().split()])
-        & ~F.arrays_overlap(carrier_words, F.array(*[F.lit(w) for w in name.lower().split()]))
-        for name in known_carriers]
+        reduce(lambda a, b: a & b, [F.lower("query").contains(w) for w in name])
+        & ~F.arrays_overlap(carrier_words, F.array(*[F.lit(w) for w in name]))
+        for name in names if name]
     other = reduce(lambda a, b: a | b, others, F.lit(False))
-    routing = F.when(F.col("policy").isNull(), 1.0).when(routed, V.ROUTED).when(other, V.MISROUTED).otherwise(1.0)
+    routing = F.when(blank("policy") == "", 1.0).when(routed, V.ROUTED).when(other, V.MISROUTED).otherwise(1.0)
     return df.withColumns({
         "meta_score": _ratio(_count(q, meta), F.size(q)),
         "specificity": 0.2 * rich + 0.2 * (0.5 * has_id + 0.5 * depth) + 0.3 * density + 0.3 * confidence,
@@ -284,35 +335,92 @@ def weight_grid(step: float = V.GRID_STEP) -> np.ndarray:
     return np.array([(a, b, c, n - a - b - c) for a in range(n + 1) for b in range(n + 1 - a) for c in range(n + 1 - a - b)]) * step
 
 
-def grid_search(features: DataFrame, items: DataFrame, k: int = 6, step: float = V.GRID_STEP) -> DataFrame:
+BLOCK = 512  # candidates of a query that travel as one row
+
+
+def _scores(rows: list, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score of every candidate under every weight vector, its position, is it a hit)."""
+    f = np.array([[r[p] for p in PARTS] for r in rows])
+    score = np.round(f @ grid.T * np.array([r["factor"] for r in rows])[:, None], 9)
+    return score, np.array([r["position"] for r in rows]), np.array([r["hit"] for r in rows], dtype=bool)
+
+
+def _best_hits(rows: list, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Score and position of the best hit under every weight vector; None without hits."""
+    score, position, hit = _scores(rows, grid)
+    if not hit.any():
+        return None
+    at = score[hit].argmax(axis=0)  # rows are in order of position: the first of equals
+    return score[hit][at, np.arange(len(grid))], position[hit][at]
+
+
+def _ahead(rows: list, grid: np.ndarray, top: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many candidates come before (top, at) under every weight vector."""
+    score, position, _ = _scores(rows, grid)
+    return ((score > top) | ((score == top) & (position[:, None] < at))).sum(axis=0)
+
+
+def _long_queries(blocks: DataFrame, grid: np.ndarray, k: int) -> DataFrame:
+    """(combo, rr) sums over queries of several blocks: the best hit of every query and weight vector, then the
+    number of candidates before it. Blocks of a query are rows of any task; a query is as many rows as vectors."""
+    combos = np.arange(len(grid))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for q, rows in zip(pdf["query_id"], pdf["rows"]):
+                found = _best_hits(rows, grid)
+                if found is not None:
+                    yield pd.DataFrame({"query_id": q, "combo": combos, "top": found[0], "at": found[1]})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for q, rows, tops in zip(pdf["query_id"], pdf["rows"], pdf["tops"]):
+                top, at = np.array([t["top"] for t in tops]), np.array([t["at"] for t in tops])
+                yield pd.DataFrame({"query_id": q, "combo": combos, "n": _ahead(rows, grid, top, at)})
+
+    key = blocks.schema["query_id"].dataType.simpleString()
+    first = F.min_by(F.struct("top", "at"), F.struct(-F.col("top"), "at"))
+    tops = blocks.mapInPandas(best, f"query_id {key}, combo int, top double, at long").groupBy("query_id", "combo").agg(first.alias("b"))
+    row = F.transform(F.array_sort(F.collect_list(F.struct("combo", "b"))), lambda x: x.b)
+    tops = cut(tops.groupBy("query_id").agg(row.alias("tops")), "grid_tops")
+    met = guarded_join(blocks, tops, ["query_id"], spread=F.col("block"))
+    ranks = met.mapInPandas(count, f"query_id {key}, combo int, n long").groupBy("query_id", "combo").agg((1 + F.sum("n")).alias("rank"))
+    return ranks.groupBy("combo").agg(F.sum(F.when(F.col("rank") <= k, 1.0 / F.col("rank")).otherwise(0.0)).alias("rr"))
+
+
+def grid_search(features: DataFrame, items: DataFrame, k: int = 6, step: float = V.GRID_STEP, block: int = BLOCK) -> DataFrame:
     """Mean reciprocal rank of every weight vector. ``features``: query_id,
-    position, rrf, meta_score, specificity, coverage, boost, penalty, hit. The
-    candidates of a query (a few dozen) travel as one row; each task sums over
-    its queries, so what is shuffled is one row per weight vector and task."""
-    parts = ["rrf", "meta_score", "specificity", "coverage"]
-    row = F.struct("position", *[F.col(p).cast("double").alias(p) for p in parts],
-                   (F.col("boost") * F.col("penalty")).alias("factor"), "hit")
-    queries = features.groupBy("query_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    position (counts up along a query, unique in it), rrf, meta_score,
+    specificity, coverage, boost, penalty, hit. Candidates travel as one row per
+    query and ``block`` of positions. A query of one block is ranked in its row,
+    and each task sums over such queries; for longer ones the best hits of their
+    blocks are compared and what comes before them is counted."""
+    row = F.struct("position", *[F.col(p).cast("double").alias(p) for p in PARTS],
+                   (F.col("boost") * F.col("penalty")).cast("double").alias("factor"), "hit")
+    number = F.floor(F.col("position") / block)
+    blocks = cut(features.groupBy("query_id", number.alias("block")).agg(F.sort_array(F.collect_list(row)).alias("rows")), "grid_blocks")
+    long = cut(blocks.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("query_id"), "grid_long")
     grid = weight_grid(step)
+    combos = np.arange(len(grid))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(len(grid))
         for pdf in batches:
             for rows in pdf["rows"]:
-                hit = np.array([r["hit"] for r in rows], dtype=bool)
-                if not hit.any():
-                    continue
-                f = np.array([[r[p] for p in parts] for r in rows])
-                score = np.round(f @ grid.T * np.array([r["factor"] for r in rows])[:, None], 9)
-                best = np.where(hit[:, None], score, -np.inf)
-                at = best.argmax(axis=0)
-                top = best[at, np.arange(len(grid))]
-                ahead = (score > top) | ((score == top) & (np.arange(len(rows))[:, None] < at))
-                rank = 1 + ahead.sum(axis=0)
-                total += np.where(rank <= k, 1.0 / rank, 0.0)
-        yield pd.DataFrame({"combo": np.arange(len(grid)), **{f"w{i + 1}": np.round(grid[:, i], 2) for i in range(4)}, "rr": total})
-
-    sums = queries.select("rows").mapInPandas(run, "combo int, w1 double, w2 double, w3 double, w4 double, rr double")
+                found = _best_hits(rows, grid)
+                if found is not None:
+                    rank = 1 + _ahead(rows, grid, *found)
+                    total += np.where(rank <= k, 1.0 / rank, 0.0)
+        yield pd.DataFrame({"combo": combos, "rr": total})
+
+    some = not long.isEmpty()
+    short = blocks.join(long, "query_id", "left_anti") if some else blocks
+    sums = short.select("rows").mapInPandas(run, "combo int, rr double")
+    if some:
+        sums = sums.unionByName(_long_queries(guarded_join(blocks, long, ["query_id"], spread=F.col("block")), grid, k))
+    vectors = blocks.sparkSession.createDataFrame(
+        [(i, *[round(float(w), 2) for w in grid[i]]) for i in range(len(grid))], "combo int, w1 double, w2 double, w3 double, w4 double")
+    sums = vectors.join(sums, "combo", "left").fillna(0.0, ["rr"])
     n = items.agg(F.count(F.lit(1)).alias("n"))  # a single row
     return sums.groupBy("combo", "w1", "w2", "w3", "w4").agg(F.sum("rr").alias("rr")).join(F.broadcast(n), how="cross").select(
         "w1", "w2", "w3", "w4", F.round(F.col("rr") / F.col("n"), 6).alias("mrr"))
@@ -325,14 +433,23 @@ def best_weights(grid: DataFrame) -> DataFrame:
 
 
 # --- reports ------------------------------------------------------------------------------
-def query_report(queries: DataFrame, results: DataFrame) -> DataFrame:
-    """One row per query with its ordered citations."""
+def query_report(queries: DataFrame, results: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """One row per query with its ordered citations, one per result, so as many as the search returns at most.
+
+    ``answers`` (query_id, latency_ms, generation_degraded, answer, confidence_tier; one row per query at most)
+    adds the first three; its tier goes before that of the best result, as answering may lower it. They are null
+    for queries without an answer."""
     per = results.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("_n"), F.min_by("confidence_tier", "rank").alias("_tier"),
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "filename", "page_number"))),
                     lambda s: F.struct(s.filename.alias("filename"), s.page_number.alias("page_number"))).alias("citations"))
-    return queries.join(per, "query_id", "left").withColumns({
-        "retrieved_chunks_count": F.coalesce("_n", F.lit(0)), "confidence_tier": F.coalesce("_tier", F.lit("LOW"))}).drop("_n", "_tier")
+    rows = queries.join(per, "query_id", "left")
+    tiers = [F.col("_tier"), F.lit("LOW")]
+    if answers is not None:
+        own = F.col("confidence_tier").alias("_own")
+        rows = rows.join(answers.select("query_id", "latency_ms", "generation_degraded", "answer", own), "query_id", "left")
+        tiers.insert(0, F.col("_own"))
+    return rows.withColumns({"retrieved_chunks_count": F.coalesce("_n", F.lit(0)), "confidence_tier": F.coalesce(*tiers)}).drop("_n", "_tier", "_own")
 
 
 def failure_report(firsts: DataFrame, categories: DataFrame, scored: DataFrame, n: int = 10) -> DataFrame:

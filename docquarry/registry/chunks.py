@@ -182,10 +182,11 @@ def marked(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page"), F.expr(HASHES).alias("text"))
 
 
-@query("k13_parent_child_split", f"""WITH {MARKDOWN} SELECT CAST(doc_id AS VARCHAR) AS document_id, parent_no, s // 275 AS child_no, substr(parent_text, s + 1, 350) AS child_text,
-  parent_text FROM hp, unnest(range(0, greatest(length(parent_text) - 75, 1), 275)) AS t(s)""")
+@query("k13_parent_child_split", f"""WITH {MARKDOWN} SELECT CAST(doc_id AS VARCHAR) AS document_id, parent_no, s // 275 AS child_no, substr(parent_text, s + 1, 350) AS child_text, parent_text,
+  row_number() OVER o - 1 AS chunk_index, concat(doc_id, '_', row_number() OVER o - 1) AS chunk_id
+  FROM hp, unnest(range(0, greatest(length(parent_text) - 75, 1), 275)) AS t(s) WINDOW o AS (PARTITION BY doc_id ORDER BY parent_no, s)""")
 def k13(spark, sf):
-    return K.parent_children(marked(spark, sf)).drop("page")
+    return K.parent_children(with_segments(marked(spark, sf))).drop("page")
 
 
 @query("k14_markdown_heading_split", f"WITH {MARKDOWN} SELECT CAST(doc_id AS VARCHAR) AS document_id, parent_no, parent_text FROM hp")

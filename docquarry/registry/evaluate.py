@@ -96,6 +96,24 @@ def e05r(spark, sf):
     return E.duplicate_ratio(E.near_duplicates(results(spark, sf)))
 
 
+CLASSES = f"""dw AS (SELECT doc_id, list_sort(list_distinct({TOK("coalesce(text, '')")})) AS w FROM documents),
+cl AS (SELECT w, min(doc_id) AS class_id FROM dw GROUP BY w)"""
+
+
+@query("e05_corpus_duplicate_pairs", f"""WITH {CLASSES}, cw AS (SELECT class_id, len(w) AS n, unnest(w) AS t FROM cl),
+sh AS (SELECT a.class_id AS class_a, b.class_id AS class_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM cw a JOIN cw b ON a.t = b.t AND a.class_id < b.class_id
+  AND least(a.n, b.n) >= {V.DUPLICATE_JACCARD} * greatest(a.n, b.n) GROUP BY 1, 2)
+SELECT class_a, class_b, round(c / (na + nb - c), 6) AS similarity FROM sh WHERE c / (na + nb - c) > {V.DUPLICATE_JACCARD}""")
+def e05c(spark, sf):
+    _, found = E.corpus_duplicates(table(spark, sf, "documents"), "doc_id")
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("e05_corpus_duplicate_classes", f"WITH {CLASSES} SELECT doc_id AS id, class_id FROM dw JOIN cl USING (w)")
+def e05m(spark, sf):
+    return E.corpus_duplicates(table(spark, sf, "documents"), "doc_id")[0]
+
+
 DOC = "CASE WHEN contains(lower(query), 'sbi') OR contains(lower(query), 'saral') THEN 'sbi' WHEN contains(lower(query), 'hdfc') OR contains(lower(query), 'click') OR contains(lower(query), 'health protector') THEN 'hdfc' ELSE '' END"
 CATEGORY = f"""{FIRSTS}, sn AS (SELECT query_id, count(*) AS n, bool_or(contains(lower(filename), {DOC}) OR contains(lower(carrier), {DOC})) AS seen FROM re JOIN it USING (query_id) GROUP BY 1),
 fc AS (SELECT query_id, query, CASE WHEN hit THEN 'None (Hit)' WHEN {sql_any('lower(query)', V.BOILERPLATE_TERMS)} OR {sql_any('lower(expected_heading)', V.BOILERPLATE_TERMS)} THEN {lit(V.FAILURES[0])}
@@ -302,10 +320,19 @@ def e15b(spark, sf):
     return E.best_weights(E.grid_search(candidate_features(spark, sf), questions(spark, sf)))
 
 
-@query("e16_query_report", f"""WITH {RESULTS} SELECT doc_id AS query_id, coalesce(n, 0) AS retrieved_chunks_count, coalesce(t, 'LOW') AS confidence_tier, coalesce(c, '') AS citations FROM documents LEFT JOIN (
-  SELECT query_id, count(*) AS n, arg_min(confidence_tier, rank) AS t, string_agg(concat(filename, ':', page_number), ',' ORDER BY rank) AS c FROM re GROUP BY 1) ON query_id = doc_id""")
+# every eighth question has no answer; an answer that was not generated lowers the tier
+REPLIED = ("doc_id AS query_id", "doc_id * 0.25 AS latency_ms", "doc_id % 3 = 0 AS generation_degraded",
+           "concat('Page ', doc_id, ': ', source) AS answer", "CASE WHEN doc_id % 3 = 0 THEN 'LOW' END AS confidence_tier")
+
+
+@query("e16_query_report", f"""WITH {RESULTS}, rp AS (SELECT {', '.join(REPLIED)} FROM documents WHERE doc_id % 8 != 0)
+SELECT doc_id AS query_id, source AS query, coalesce(n, 0) AS retrieved_chunks_count, coalesce(rp.confidence_tier, t, 'LOW') AS confidence_tier, coalesce(c, '') AS citations,
+  latency_ms, generation_degraded, answer FROM documents LEFT JOIN rp ON rp.query_id = doc_id LEFT JOIN (
+  SELECT query_id, count(*) AS n, arg_min(confidence_tier, rank) AS t, string_agg(concat(filename, ':', page_number), ',' ORDER BY rank) AS c FROM re GROUP BY 1) AS cn ON cn.query_id = doc_id""")
 def e16(spark, sf):
-    df = E.query_report(table(spark, sf, "documents").select(F.col("doc_id").alias("query_id")), results(spark, sf))
+    docs = table(spark, sf, "documents")
+    replied = docs.filter("doc_id % 8 != 0").selectExpr(*REPLIED)
+    df = E.query_report(docs.select(F.col("doc_id").alias("query_id"), F.col("source").alias("query")), results(spark, sf), replied)
     cited = F.array_join(F.transform("citations", lambda c: F.concat(c.filename, F.lit(":"), c.page_number)), ",")
     return df.withColumn("citations", F.coalesce(cited, F.lit("")))
 

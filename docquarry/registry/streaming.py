@@ -42,3 +42,21 @@ def st2(spark, sf):
     M.start_monitor(log, out, fresh_path(spark, "checkpoint")).awaitTermination()
     df = spark.read.parquet(out)
     return df.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+WINDOW_STEP = "ln(1.01 / 0.99)"
+
+
+@query("st2_latency_percentiles", f"""WITH b AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type AS confidence_tier,
+  CASE WHEN value > 0 THEN CAST(ceil(ln(value) / {WINDOW_STEP}) AS INTEGER) END AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY w, confidence_tier ORDER BY bucket NULLS FIRST) AS below, sum(n) OVER (PARTITION BY w, confidence_tier) AS total,
+  coalesce(2 * exp(bucket * {WINDOW_STEP}) / (1 + 1.01 / 0.99), 0) AS v FROM b WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, confidence_tier,
+  {', '.join(f"round(min(v) FILTER (WHERE below >= ceil({p} * total)), 6) AS p{round(100 * p)}" for p in (0.5, 0.95, 0.99))} FROM c GROUP BY 1, 2""")
+def st2p(spark, sf):
+    events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    out = fresh_path(spark, "sketches")
+    log = events.select("ts", F.col("event_type").alias("confidence_tier"), F.col("value").alias("latency_ms"))
+    M.start_sketches(log, out, fresh_path(spark, "checkpoint")).awaitTermination()
+    df = M.read_percentiles(spark, out).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    return df.select("window_start", "confidence_tier", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
