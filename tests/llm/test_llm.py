@@ -564,3 +564,29 @@ def test_no_python_on_native_paths(spark):
     for op in (op9, op3):
         plan = op(spark, SF)._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_lines_that_share_a_passage_meet_by_rare_shingles(spark):
+    """No pair of the similarity is left out, and lines that have only a long passage in common hardly meet."""
+    from docquarry.llm.line_dedup import SHINGLE, dedup_lines, rare_pairs
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    passage = "".join(rng.choice(letters) for _ in range(210))
+    lines = [passage + "".join(rng.choice(letters) for _ in range(90)) for _ in range(300)]
+    for _ in range(40):  # near copies with some letters changed anywhere
+        line = list(rng.choice(lines[:300]))
+        for _ in range(rng.randint(1, 6)):
+            line[rng.randrange(len(line))] = rng.choice(letters)
+        lines.append("".join(line))
+    lines += ["x" * 300, "x" * 700, "short", "shore"]
+    sets = [{s[i:i + SHINGLE] for i in range(len(s) - SHINGLE + 1)} for s in lines]
+    alike = {(i, j) for j in range(len(lines)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = {tuple(r) for r in rare_pairs(spark.createDataFrame(list(enumerate(lines)), "o long, line string"), 0.8).distinct().collect()}
+    assert alike <= got and len(alike) >= 40
+    assert len(got) < 2000  # of 59,000
+    root = list(range(len(lines)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, j in alike:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    gone = {r.id for r in dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect() if r.removed}
+    assert gone == {i for i in range(len(lines)) if find(i) != i}
