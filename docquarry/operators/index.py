@@ -34,9 +34,9 @@ def term_counts(words: Column) -> Column:
 
 def chunk_terms(chunks: DataFrame, text: str = "page_content") -> DataFrame:
     """One row per chunk: its length and its (term, tf) pairs."""
-    scope = [c for c in SCOPE if c in chunks.columns]
-    return chunks.select("chunk_id", *scope, tokens(F.col(text)).alias("_t")).select(
-        "chunk_id", *scope, F.size("_t").alias("dl"), term_counts(F.col("_t")).alias("terms"))
+    named = [c for c in ("chunk_id", *SCOPE) if c in chunks.columns]
+    return chunks.select(*named, tokens(F.col(text)).alias("_t")).select(
+        *named, F.size("_t").alias("dl"), term_counts(F.col("_t")).alias("terms"))
 
 
 def _counted(chunks: DataFrame, text: str) -> DataFrame:

@@ -141,3 +141,12 @@ def test_bm25_pairs_are_not_shuffled(spark):
     assert "WindowGroupLimit" in plan and "hashpartitioning(query_id#" in plan
     assert not any("hashpartitioning(query_id" in line and "chunk_id" in line for line in plan.splitlines())
     assert top.orderBy("rank").first()["chunk_id"] == "b"
+
+
+def test_scoped_statistics_without_ids(spark):
+    """The statistics of scopes need no chunk ids."""
+    c = spark.createDataFrame([("one two two", "A", "L"), ("two three", "A", "M"), ("", "B", "L")], "page_content string, carrier string, line_of_business string")
+    got = {(r["carrier"], r["line_of_business"], r["term"]): r["df"] for r in X.scoped_term_stats(c).collect()}
+    assert got["A", "L", "two"] == 1 and got["A", None, "two"] == 2 and got[None, None, "three"] == 1
+    totals = X.scoped_corpus_stats(c).filter("carrier IS NULL AND line_of_business IS NULL").collect()
+    assert (3, 5 / 3) in [(r["n"], r["avgdl"]) for r in totals]
