@@ -50,6 +50,7 @@ def postings(chunks: DataFrame, text: str = "page_content") -> DataFrame:
     return counted.select(*[c for c in counted.columns if c != "terms"], F.inline("terms"))
 
 
+HITS_PER_TASK = 2_000_000  # postings met by queries, about, whose scores one task holds
 BUCKETS = 512  # folders of stored postings; a search reads those of its own terms
 
 
@@ -63,12 +64,21 @@ def asked_postings(words: DataFrame, asked: DataFrame) -> DataFrame:
     All others are left out where they are read: stored postings by their folder, then all by
     the (measured) terms, which are sent to the tasks. Only what remains is shuffled. Scores per (query, chunk)
     are then complete inside a task, and so is the cut to the best per query: what is shuffled after
-    that is a few rows per query and task, not one row per pair of a query and a chunk."""
+    that is a few rows per query and task, not one row per pair of a query and a chunk. ``asked`` also has
+    the document frequency of every term, from which the number of these tasks follows."""
     terms = asked.select("term").distinct()
+    tasks = score_tasks(asked)
     if "bucket" in words.columns:
         folders = sorted(r[0] for r in terms.select(term_bucket().alias("b")).distinct().collect())  # at most BUCKETS numbers
         words = words.filter(F.col("bucket").isin(folders)).drop("bucket")
-    return guarded_join(words, terms, ["term"], "left_semi", spread=F.col("chunk_id")).repartition("chunk_id")
+    return guarded_join(words, terms, ["term"], "left_semi", spread=F.col("chunk_id")).repartition(tasks, "chunk_id")
+
+
+def score_tasks(asked: DataFrame) -> int:
+    """Tasks among which the chunks are dealt out. A posting meets every query that has its term, so the pairs that a
+    task scores are as many as the document frequencies of ``asked`` (term, df) say, not as many as its postings."""
+    hits = asked.agg(F.sum("df")).first()[0] or 0
+    return max(asked.sparkSession.sparkContext.defaultParallelism, -(-int(hits) // HITS_PER_TASK))
 
 
 def term_stats(chunks: DataFrame, text: str = "page_content") -> DataFrame:
@@ -168,10 +178,10 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "page_content
     totals = weighted.agg(F.avg("raw").alias("mean"), F.first("n").alias("n"), F.first("avgdl").alias("avgdl"))
     mine = query_terms(queries, query_text).join(stats, "term").join(F.broadcast(totals), how="cross").withColumn(
         "raw", idf(F.col("n"), F.col("df"))).select(
-        "query_id", "term", "qtf", "avgdl",
+        "query_id", "term", "qtf", "df", "avgdl",
         F.when(F.col("raw") < 0, V.BM25_FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("weight"))
     mine = cut(mine, "query-terms")
-    hits = guarded_join(asked_postings(postings(chunks, text), mine), mine, ["term"], spread=F.col("chunk_id"))
+    hits = guarded_join(asked_postings(postings(chunks, text), mine), mine.drop("df"), ["term"], spread=F.col("chunk_id"))
     part = F.col("qtf") * bm25(F.col("weight"), F.col("tf"), F.col("dl"), F.col("avgdl"))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
@@ -188,10 +198,10 @@ def scoped_bm25_scores(index: KeywordIndex, queries: DataFrame, query_text: str
     on = [c for c in ("bucket", "scope", "term") if c in raw.columns]
     mine = asked.join(raw, on).join(corpus, "scope").withColumn(
         "weight", F.when(F.col("raw") < 0, V.BM25_FLOOR * F.col("mean")).otherwise(F.col("raw")))
-    mine = cut(mine.select("query_id", "term", "qtf", "avgdl", "q_carrier", "q_lob", "weight"), "query-terms")
+    mine = cut(mine.select("query_id", "term", "qtf", "df", "avgdl", "q_carrier", "q_lob", "weight"), "query-terms")
     inside = (F.col("q_carrier").isNull() | (F.col("q_carrier") == F.col("carrier"))) & (
         F.col("q_lob").isNull() | (F.col("q_lob") == F.col("line_of_business")))
-    hits = guarded_join(asked_postings(index.postings, mine), mine, ["term"], condition=inside, spread=F.col("chunk_id"))
+    hits = guarded_join(asked_postings(index.postings, mine), mine.drop("df"), ["term"], condition=inside, spread=F.col("chunk_id"))
     part = F.col("qtf") * bm25(F.col("weight"), F.col("tf"), F.col("dl"), F.col("avgdl"))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 

@@ -150,3 +150,20 @@ def test_scoped_statistics_without_ids(spark):
     assert got["A", "L", "two"] == 1 and got["A", None, "two"] == 2 and got[None, None, "three"] == 1
     totals = X.scoped_corpus_stats(c).filter("carrier IS NULL AND line_of_business IS NULL").collect()
     assert (3, 5 / 3) in [(r["n"], r["avgdl"]) for r in totals]
+
+
+def test_chunks_are_dealt_out_by_hits(spark, monkeypatch):
+    """The tasks that score grow with the pairs of a query and a posting, not with the postings alone."""
+    c = spark.createDataFrame([(f"c{i:02d}", f"common word{i} {'rare' if i < 3 else 'other'}", "C", "L") for i in range(40)],
+                              "chunk_id string, page_content string, carrier string, line_of_business string")
+    q = spark.createDataFrame([(i, "common rare", "C" if i % 2 else None, None) for i in range(10)], "query_id long, search_query string, carrier string, line_of_business string")
+    rows = lambda df: sorted((r["query_id"], r["chunk_id"], round(r["score"], 9)) for r in df.collect())
+    searches = (lambda: X.bm25_scores(c, q), lambda: X.scoped_bm25_scores(X.build_index(c), q))
+    for run in searches:
+        want = rows(run())
+        with monkeypatch.context() as patch:
+            patch.setattr(X, "HITS_PER_TASK", 20)  # 10 queries meet 40 + 3 postings
+            few = run()
+            plan = few._jdf.queryExecution().executedPlan().toString()
+            assert any("hashpartitioning(chunk_id" in line and ", 22)" in line for line in plan.splitlines())
+            assert rows(few) == want and len(want) == 400
