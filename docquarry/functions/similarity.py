@@ -16,17 +16,21 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _known(words: list[tuple[str, str, str]]) -> Column:
-    """(places of every letter as bits, letters, what it stands for, pattern of ``_may_hold``) of known words, as one literal."""
+def _known(words: list[tuple[str, str]], threshold: float = 0.0) -> Column:
+    """(places of every letter as bits, letters, what it stands for, where ``_partial_ratio`` must look) of known words, as one literal."""
     rows = []
-    for word, name, pattern in words:
+    for word, name in words:
         if not 0 < len(word) <= MAX_WORD:
             raise ValueError(f"{word!r} has no letters or more than {MAX_WORD}")
         bits: dict[str, int] = {}
         for i, ch in enumerate(word):
             bits[ch] = bits.get(ch, 0) | (1 << i)
         letters = ", ".join(f"{_sql(ch)}, {b}L" for ch, b in bits.items())
-        rows.append(f"named_struct('bits', map({letters}), 'm', {len(word)}, 'name', {_sql(name)}, 'pattern', {_sql(pattern)})")
+        lost, pieces, ends = _may_hold(word, threshold)
+        looked = ", ".join(f"named_struct('at', {at}, 'piece', {_sql(piece)}, 'look', {_sql(f'(?={_quoted(piece)})')})" for at, piece in pieces)
+        rows.append(f"named_struct('bits', map({letters}), 'm', {len(word)}, 'name', {_sql(name)}, 'letters', {_sql(''.join(bits))}, 'lost', {lost}, "
+                    f"'pieces', CAST(array({looked}) AS array<struct<at:int,piece:string,look:string>>), "
+                    f"'ends', {_sql('|'.join(map(_quoted, ends)))})")
     return F.expr(f"array({', '.join(rows)})")
 
 
@@ -54,27 +58,47 @@ def _ratio(k: Column, text: Column) -> Column:
 
 def ratio(word: str, text: Column) -> Column:
     """100 · 2·LCS / (sum of the lengths)."""
-    return _ratio(_known([(word, "", "")])[0], text)
+    return _ratio(_known([(word, "")])[0], text)
 
 
-def _letter(ch: str) -> str:
-    return ch if ch.isalnum() or ch == " " else "\\" + ch
+def _quoted(text: str) -> str:
+    return "".join(ch if ch.isalnum() or ch == " " else "\\" + ch for ch in text)
 
 
-def _may_hold(word: str, threshold: float) -> str:
-    """Pattern without which no window as long as the word can reach the threshold. Such a window has all but ``d`` of the
-    word's letters in order and ``d`` others: it is the word; or the word without a letter and with any other one; or, as
-    2 d changes leave one of 2 d + 1 pieces of the word alone, it has such a piece."""
+def _pieces(word: str, n: int) -> list[tuple[int, str]]:
+    """The word cut into ``n`` pieces, with their places; none if a piece would be empty."""
+    cuts = [i * len(word) // n for i in range(n + 1)]
+    return [(lo, word[lo:hi]) for lo, hi in zip(cuts, cuts[1:])] if n <= len(word) else []
+
+
+def _may_hold(word: str, threshold: float) -> tuple[int, list[tuple[int, str]], list[str]]:
+    """(d, pieces, pieces at the ends) without which no window can reach the threshold; no pieces: all may.
+
+    A window as long as the word has all but ``d`` of the word's letters in order and ``d`` others. As 2 d changes leave one
+    of 2 d + 1 pieces of the word alone, it has such a piece, at most ``d`` places from where the word has it. A shorter
+    window of e letters over an end has at most (m + e) (1 - threshold / 100) changes, for which the same is true."""
     m = len(word)
     d = m - math.ceil(threshold * m / 100 - 1e-9)
-    quoted = lambda part: "".join(map(_letter, part))
-    if d == 0:
-        return quoted(word)
-    if d == 1:
-        less = {word[:i] + word[i + 1:] for i in range(m)}
-        return "(?s)" + "|".join(sorted({quoted(w[:j]) + "." + quoted(w[j:]) for w in less for j in range(m)}))
-    cuts = [i * m // (2 * d + 1) for i in range(2 * d + 2)]
-    return "|".join(sorted({quoted(word[lo:hi]) for lo, hi in zip(cuts, cuts[1:])}))  # of an empty piece: all
+    changes = math.floor((2 * m - 1) * (1 - threshold / 100) + 1e-9)
+    return d, _pieces(word, 2 * d + 1), [piece for _, piece in _pieces(word, changes + 1)]
+
+
+MAX_PLACES = 64  # of a piece in a text; where it is found more often, all windows are looked at
+
+
+def _starts(k: Column, text: Column) -> Column:
+    """First letters of the windows that have a piece of the word where it may be; null if there are too many."""
+    def places(p):  # of a piece: sums of the lengths of what is between; overlapping ones count
+        parts = F.transform(F.split(F.concat(F.lit("\0"), text), p["look"], -1), lambda x: F.length(x))
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"] + n)).alias("all"))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        found = let(parts, lambda x: F.when(F.size(x) <= MAX_PLACES, F.aggregate(F.slice(x, F.lit(1), F.size(x) - 1), none, step, lambda acc: acc["all"])))
+        near = F.flatten(F.transform(found, lambda at: F.sequence(at - p["at"] - k["lost"], at - p["at"] + k["lost"])))
+        return F.when(F.contains(text, p["piece"]), near).otherwise(F.array().cast("array<int>"))
+
+    last = F.length(text) - k["m"] + 1
+    strange = lambda i: F.length(F.call_function("translate", F.substr(text, i, k["m"]), k["letters"], F.lit("")))  # letters that the word has not
+    return F.filter(F.array_distinct(F.flatten(F.transform(k["pieces"], places))), lambda i: F.when((i >= 1) & (i <= last), strange(i) <= k["lost"]).otherwise(False))
 
 
 def _partial_ratio(k: Column, text: Column, threshold: float) -> Column:
@@ -86,10 +110,14 @@ def _partial_ratio(k: Column, text: Column, threshold: float) -> Column:
     zero = F.lit(0)
 
     def end(part, start):  # windows of the first or last m - 1 letters that begin or end with the text
-        return let(_places(k["bits"], part), lambda p: best(sizes, lambda e: score(_common(F.slice(p, start(e), e), zero, m), e)))
+        return F.when(F.regexp_like(part, k["ends"]), let(_places(k["bits"], part), lambda p: best(
+            sizes, lambda e: score(_common(F.slice(p, start(e), e), zero, m), e)))).otherwise(0.0)
 
-    inside = let(_places(k["bits"], text), lambda p: best(
+    every = let(_places(k["bits"], text), lambda p: best(
         F.sequence(F.lit(1), n - m + 1), lambda i: score(_common(F.slice(p, i, m), zero, m), m)))
+    some = lambda starts: best(starts, lambda i: score(_common(_places(k["bits"], F.substr(text, i, m)), zero, m), m))
+    inside = F.when(F.size(k["pieces"]) == 0, every).when(F.exists(k["pieces"], lambda p: F.contains(text, p["piece"])), let(
+        _starts(k, text), lambda s: F.when(s.isNull(), every).otherwise(some(s)))).otherwise(0.0)
 
     def one(p):  # windows of the word, which is longer
         def at(i):
@@ -99,8 +127,7 @@ def _partial_ratio(k: Column, text: Column, threshold: float) -> Column:
         return best(F.sequence(2 - n, m), at)
 
     found = F.when(n == 0, 0.0).when(n < m, let(_places(k["bits"], text), one)).otherwise(F.greatest(
-        end(F.left(text, m - 1), lambda e: F.lit(1)), end(F.right(text, m - 1), lambda e: m - e),
-        F.when(F.regexp_like(text, k["pattern"]), inside).otherwise(0.0)))
+        end(F.left(text, m - 1), lambda e: F.lit(1)), end(F.right(text, m - 1), lambda e: m - e), inside))
     return let(found, lambda x: F.when(x >= threshold, x).otherwise(0.0))
 
 
@@ -108,9 +135,9 @@ def partial_ratio(word: str, text: Column, threshold: float = 0.0) -> Column:
     """Best ratio of the shorter of both with any window of the longer one;
     windows may hang over either end. Scores below ``threshold`` come back as 0.
 
-    Windows as long as the word are looked at only where ``_may_hold`` says so; of those that hang
-    over an end, only as many as are long enough."""
-    return let(_known([(word, "", _may_hold(word, threshold))])[0], lambda k: _partial_ratio(k, text, threshold))
+    Of windows as long as the word only those are looked at that ``_may_hold`` allows; of those that hang
+    over an end, only as many as are long enough, where that end has a piece of the word."""
+    return let(_known([(word, "")], threshold)[0], lambda k: _partial_ratio(k, text, threshold))
 
 
 def fuzzy_carrier(tokens: Column, aliases=V.CARRIER_ALIASES, threshold: float = V.FUZZY_THRESHOLD) -> Column:
@@ -126,7 +153,7 @@ def fuzzy_carrier(tokens: Column, aliases=V.CARRIER_ALIASES, threshold: float =
             return F.when(near, F.struct(_ratio(k, w).alias("score"), (-i).alias("early"), (-j).alias("order"), k["name"].alias("name")))
         return F.array_max(F.transform(tokens, one))
 
-    found = F.array_max(F.transform(_known([(alias, name, "") for name, alias in aliases]), best))
+    found = F.array_max(F.transform(_known([(alias, name) for name, alias in aliases]), best))
     return let(found, lambda b: F.when(b["score"] >= threshold, b["name"]))
 
 
@@ -134,9 +161,9 @@ def fuzzy_lob(query: Column, lobs=V.LOB_KEYWORDS, threshold: float = V.FUZZY_THR
               min_keyword: int = V.FUZZY_MIN_KEYWORD) -> Column:
     """Line of business of the keyword found best inside the query; among equal
     scores the longer keyword wins, then the earlier one. Null in, null out."""
-    words = [(kw, lob, _may_hold(kw, threshold)) for lob, kws in lobs for kw in kws if len(kw) >= min_keyword]
+    words = [(kw, lob) for lob, kws in lobs for kw in kws if len(kw) >= min_keyword]
     if not words:
         return F.lit(None).cast("string")
-    scored = let(query, lambda q: F.transform(_known(words), lambda k, j: F.struct(
+    scored = let(query, lambda q: F.transform(_known(words, threshold), lambda k, j: F.struct(
         _partial_ratio(k, q, threshold).alias("score"), k["m"].alias("n"), (-j).alias("order"), k["name"].alias("lob"))))
     return F.when(query.isNotNull(), let(F.array_max(scored), lambda b: F.when(b["score"] >= threshold, b["lob"])))

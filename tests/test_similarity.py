@@ -77,3 +77,21 @@ def test_names(spark):
     want = {i: (fuzzy_carrier(w, aliases, 85.0), fuzzy_lob(q, lobs, 85.0, 6)) for i, w, q in rows[:-1]}
     assert have == {**want, 150: (None, None)}
     assert len({c for c, _ in have.values()}) > 4 and len({x for _, x in have.values()}) == 4
+
+
+def test_windows_of_long_texts(spark):
+    """In long texts only the windows near a piece of the word are looked at; the best one is never left out, not where a
+    piece stands at the start, overlaps itself or is found very often. Before, one text took as long as all its windows."""
+    rng = random.Random(6)
+    words = ("retirement", "personal accident", "aaabaaaa", "a.b*c(d)e", "xyxyxyxyxyxyxy")
+    spice = lambda: rng.choice(("", "é", "日本", "a a a ", "xyxyx", " ", "(d)", "..."))
+    texts = [edited(rng, w) + "".join(spice() + "".join(rng.choices("abcdeinrtp ", k=5)) for _ in range(12)) + edited(rng, w) + spice() for w in words for _ in range(12)]
+    texts += ["a" * 100 + "aaabaaaa" + "a" * 90, "xy" * 120 + "x", "ab" * 90 + "aaabaaa" + "ab" * 90]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r[0]: r[1:] for r in df.select("i", *[Y.partial_ratio(w, F.col("t"), 85.0) for w in words]).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == tuple(partial_ratio(w, t, 85.0) for w in words), t
+    assert len({x for r in got.values() for x in r}) > 8
+    # windows that are looked at, of the 490 of this text
+    k = Y._known([("retirement", "")], 85.0)[0]
+    assert spark.range(1).select(Y._starts(k, F.lit("the quick brown fox " * 12 + "retiremint" + " and a dog" * 25))).first()[0] == [240, 241, 242]
