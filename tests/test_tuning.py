@@ -119,3 +119,18 @@ def test_window_percentiles_merge(spark):
             for share in (50, 95, 99):
                 true = mine[-(-share * len(mine) // 100) - 1]
                 assert abs(r[f"p{share}"] - true) <= 0.0101 * true
+
+
+def test_corpus_duplicates_meet_by_rare_words(spark, monkeypatch):
+    """Words that the fewest classes have come first: texts that share some words of few others do not meet by these."""
+    texts = [(i, " ".join([*(f"own{i}x{j}" for j in range(12)), *(f"few{(i * 7 + j * 131) // 3 % 997}y{j}" for j in range(6))])) for i in range(3000)]
+    texts += [(5000 + i, texts[i][1] + " more") for i in range(5)]
+    met, meeting = [], E._meeting
+    monkeypatch.setattr(E, "_meeting", lambda *a: met.append(meeting(*a)) or met[-1])
+    df = spark.createDataFrame(texts, "id long, text string")
+    pairs = E.corpus_duplicates(df, "id", "text")[1].collect()
+    assert {(r["class_a"], r["class_b"]) for r in pairs} == {(i, 5000 + i) for i in range(5)}
+    assert met[0].count() <= 10
+    # what follows the first common word is too short in both
+    sets = spark.createDataFrame([(1, list("abcdefghij"), 10), (2, list("xyclmnopqr"), 10), (3, list("abcdefghix"), 10)], "class_id long, w array<string>, n int")
+    assert [tuple(r) for r in meeting(sets, [], "class_id", 0.8).collect()] == [(1, 3)]
