@@ -87,7 +87,8 @@ class Corpus:
 
     def _stored(self, name: str) -> DataFrame:
         """With its schema given, as a table without rows has no files to tell it."""
-        return self.spark.read.schema(W.schema_of(self.version, name)).parquet(self._derived(name))
+        path = self._derived(name)  # first, as a version without derived tables has no schema of them
+        return self.spark.read.schema(W.schema_of(self.version, name)).parquet(path)
 
     def _table(self, name: str) -> DataFrame:
         return W.read_table(self.spark, self.out, self.version, name)
