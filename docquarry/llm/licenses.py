@@ -6,6 +6,8 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.functions.joins import guarded_join
+from docquarry.functions.text import let
 from docquarry.llm.common import pick
 from docquarry.llm.registry import query
 from docquarry.session import cut, spread
@@ -100,7 +102,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Common people created the work in the creative quarter of the city.",
     ),
 }
-#: A paragraph without one of these words is no licence statement.
+#: A paragraph with one of these words is judged whatever it says; any other if it resembles a template.
 ANCHORS = ("license", "licence", "licensed", "licenses", "licensing", "copyright", "spdx", "gnu", "gpl", "lgpl", "agpl", "mit", "bsd", "apache", "mozilla",
            "creative", "cc", "cc0", "permission", "redistribute", "redistribution", "software", "rights", "domain", "warranties", "reproduced")
 VARIANTS = 48  # training rows made of each template, by leaving words out
@@ -129,14 +131,23 @@ def grams(words: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, n_paragraphs, found): the lines of every row that are not blank,
-    counted, and those with an anchor word, with their positions; others have no
-    feature of a licence and are not looked at further."""
+    """(row, id, n_paragraphs, lines): the lines of every row that are not blank,
+    counted, with their positions and whether they have an anchor word."""
     plain = pick(docs, id=id_col, text=text_col)
     lines = F.expr("filter(transform(split(text, '\\n'), (x, i) -> struct(i AS n, x AS text)), p -> trim(p.text) != '')")
     listed = plain.select("id", F.coalesce(lines, F.array().cast("array<struct<n:int,text:string>>")).alias("lines"))
     return listed.select(F.monotonically_increasing_id().alias("row"), "id", F.size("lines").cast("long").alias("n_paragraphs"),
-                         F.filter("lines", lambda p: F.rlike(p["text"], F.lit(_ANCHORED))).alias("found"))
+                         F.transform("lines", lambda p: F.struct(p["n"], p["text"], F.rlike(p["text"], F.lit(_ANCHORED)).alias("anchored"))).alias("lines"))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(row, n, text, anchored): the paragraphs that can be statements. Those without an anchor word are only such if the
+    comparison with the templates confirms them, so all of them are compared, and those that it cannot confirm end here."""
+    said = rows.select("row", F.inline("lines"))
+    others = said.filter("NOT anchored").select(F.struct("row", "n").alias("place"), tokens(F.col("text")).alias("words"))
+    alike = resemblance(others, _templates(rows.sparkSession), "place").filter(F.col("similarity") >= CONFIRM)
+    near = cut(alike.select("place.row", "place.n").distinct(), "licence_near")
+    return said.filter("anchored").unionByName(guarded_join(said.filter("NOT anchored"), near, ["row", "n"], "left_semi", spread=F.col("row")).select(said.columns))
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -161,7 +172,8 @@ def resemblance(rows: DataFrame, templates: DataFrame, key: str) -> DataFrame:
     common pairs of words over the pairs of the shorter of the two. The
     templates are a fixed list, so their table may be sent to all tasks."""
     def pairs(df: DataFrame, *columns: str) -> DataFrame:
-        two = F.expr("array_distinct(IF(size(words) < 2, words, transform(sequence(1, size(words) - 1), i -> concat_ws(' ', words[i - 1], words[i]))))")
+        two = let(F.col("words"), lambda w: F.array_distinct(F.when(F.size(w) < 2, w).otherwise(
+            F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))))
         return df.select(*columns, two.alias("g")).select(*columns, F.size("g").alias("size"), F.explode("g").alias("g"))
 
     known = pairs(templates.filter(F.col("family") != UNKNOWN), "family", "template").withColumnRenamed("size", "template_size")
@@ -171,19 +183,19 @@ def resemblance(rows: DataFrame, templates: DataFrame, key: str) -> DataFrame:
 
 
 def classify(candidates: DataFrame) -> DataFrame:
-    """(place, family, probability, similarity, confirmed) of every candidate (place, text).
+    """(place, family, probability, similarity, confirmed) of every candidate (place, text, anchored).
 
-    Trains on the templates and on a bounded sample of candidates that resemble
+    Trains on the templates and on a bounded sample of candidates with an anchor word that resemble
     none. Scores are divided by a temperature that fits the held-out rows best, and a
     family needs a probability above what ``ERROR`` of the held-out unknown rows
     reach, and one half; otherwise the family is unknown. A prediction is
     confirmed if the paragraph also resembles a template of that family."""
     spark = candidates.sparkSession
     templates = _templates(spark)
-    worded = cut(candidates.withColumn("words", tokens(F.col("text"))).select("place", "words"), "licence_words")
+    worded = cut(candidates.withColumn("words", tokens(F.col("text"))).select("place", "words", "anchored"), "licence_words")
     alike = cut(resemblance(worded, templates, "place"), "licence_alike")
     near = alike.filter("similarity >= 0.3").select("place").distinct()
-    far = worded.join(near, "place", "left_anti").orderBy(F.xxhash64("words"), "place").limit(UNKNOWN_SAMPLE)
+    far = worded.filter("anchored").join(near, "place", "left_anti").orderBy(F.xxhash64("words"), "place").limit(UNKNOWN_SAMPLE)
     rows = cut(training_rows(templates, far).withColumn("grams", grams(F.col("words"))), "licence_training")
 
     # the vocabulary is that of the fixed templates, so weights are a bounded table
@@ -229,17 +241,18 @@ def classify(candidates: DataFrame) -> DataFrame:
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (row, id, n_paragraphs) of the input, and statements (row, n, text,
-    family, probability, similarity, confirmed) of those with an anchor word.
+    family, probability, similarity, confirmed): all paragraphs with an anchor word,
+    and of all others those that are confirmed.
 
     Null and empty texts have no paragraphs; paragraphs are whole lines, however
     long; null ids and repeated rows are rows of their own; equal paragraphs
     are classified once; an empty table gives no rows."""
     rows = cut(paragraphs(docs, id_col, text_col), "licence_paragraphs")
-    said = cut(rows.select("row", F.inline("found")).withColumn("digest", F.sha2("text", 256)), "licence_statements")
-    once = said.groupBy("digest").agg(F.min("text").alias("text")).select(F.col("digest").alias("place"), "text")
+    said = cut(candidates(rows).withColumn("digest", F.sha2("text", 256)), "licence_statements")
+    once = said.groupBy("digest").agg(F.min("text").alias("text"), F.max("anchored").alias("anchored")).withColumnRenamed("digest", "place")
     judged = cut(classify(once), "licence_judged")
     # one statement may stand in a third of all rows; the table of different statements is joined by digest, which Spark splits
-    return rows.select("row", "id", "n_paragraphs"), said.join(judged, said["digest"] == judged["place"]).select(
+    return rows.select("row", "id", "n_paragraphs"), said.join(judged, said["digest"] == judged["place"]).filter("anchored OR confirmed").select(
         "row", "n", "text", "family", "probability", "similarity", "confirmed")
 
 

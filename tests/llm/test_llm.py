@@ -509,6 +509,16 @@ def test_license_scan_finds_planted_lines(spark):
     assert {r.doc_id: r.families for r in op3(spark, SF).collect()} == want
 
 
+def test_licenses_without_anchor_words(spark):
+    """Paragraphs without an anchor word are compared with the templates too."""
+    from docquarry.llm.licenses import scan_licenses
+    docs = spark.createDataFrame([(1, "is distributed on an as is basis, without conditions of any kind, either express or implied\nmore"),
+                                  (2, "You may not use this file except in compliance with the\nof the world"), (3, "nothing to see here\nat the")], "doc_id long, text string")
+    rows, statements = scan_licenses(docs)
+    got = {(r.id, r.n): (r.family, r.confirmed) for r in statements.join(rows, "row").collect()}
+    assert got == {(1, 0): ("apache-2.0", True), (2, 0): ("apache-2.0", True)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from docquarry.session import cut
