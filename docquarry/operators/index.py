@@ -250,6 +250,18 @@ MAX_QUERY_BYTES = 64 << 20  # of a slice's vectors, as the tasks hold them
 KNN_SCHEMA = "query_id bigint, chunk_id string, score double"
 
 
+def first_k(s: np.ndarray, k: int) -> np.ndarray:
+    """As a stable sort by falling score would give them; only rows with ties at the cut are sorted whole."""
+    if s.shape[1] <= k:
+        return np.argsort(-s, axis=1, kind="stable")
+    some = np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k], axis=1)
+    own = np.take_along_axis(s, some, 1)
+    keep = np.take_along_axis(some, np.argsort(-own, axis=1, kind="stable"), 1)
+    tied = np.flatnonzero((s >= own.min(1, keepdims=True)).sum(1) > k)
+    keep[tied] = np.argsort(-s[tied], axis=1, kind="stable")[:, :k]
+    return keep
+
+
 def vector_scores(queries: pd.DataFrame, k: int):
     """Per task: exact top k of its own vectors for every query. Vectors come in
     Arrow batches; only k rows per query are ever held."""
@@ -264,17 +276,6 @@ def vector_scores(queries: pd.DataFrame, k: int):
         keep = np.lexsort((rank, -s), axis=1)[:, :k]
         return np.take_along_axis(s, keep, 1), np.take_along_axis(names, keep, 1)
 
-    def first_k(s):
-        """As a stable sort by falling score would give them; only rows with ties at the cut are sorted whole."""
-        if s.shape[1] <= k:
-            return np.argsort(-s, axis=1, kind="stable")
-        some = np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k], axis=1)
-        own = np.take_along_axis(s, some, 1)
-        keep = np.take_along_axis(some, np.argsort(-own, axis=1, kind="stable"), 1)
-        tied = np.flatnonzero((s >= own.min(1, keepdims=True)).sum(1) > k)
-        keep[tied] = np.argsort(-s[tied], axis=1, kind="stable")[:, :k]
-        return keep
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top_s, top_c = np.full((len(ids), 0), -np.inf), np.empty((len(ids), 0), dtype=object)
         for pdf in batches:
@@ -285,7 +286,7 @@ def vector_scores(queries: pd.DataFrame, k: int):
                     if len(scopes[c]):
                         mine = scopes[c].get_indexer(part[c])
                         s[(codes[c][:, None] >= 0) & (codes[c][:, None] != mine[None, :])] = -np.inf
-                keep = first_k(s)
+                keep = first_k(s, k)
                 names = part["chunk_id"].to_numpy(dtype=object)[keep]
                 top_s, top_c = best(np.hstack([top_s, np.take_along_axis(s, keep, 1)]), np.hstack([top_c, names]))
         q, j = np.nonzero(np.isfinite(top_s))

@@ -2,6 +2,7 @@
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docquarry.operators import cells as C
@@ -53,6 +54,38 @@ def test_all_cells_are_the_exact_search_whatever_the_blocks(spark, monkeypatch):
     assert pairs(C.nearest_in_cells(index, q, probes=6)) == pairs(X.nearest(v, q))
 
 
+def test_a_query_goes_once_to_a_group_of_cells(spark, monkeypatch):
+    """Before, to each of its cells, so that what was shuffled grew with queries times cells."""
+    v = vectors(spark, 900)
+    index = C.build_vector_index(v, cells=30)
+    q = asked(v, 3)
+    plain = pairs(C.nearest_in_cells(index, q, probes=20, complete=False))
+    seen = []
+    monkeypatch.setattr(C, "top_k", lambda df, *rest: seen.append(df.count()) or X.top_k(df, *rest))
+    assert pairs(C.nearest_in_cells(index, q, probes=20, complete=False)) == plain
+    assert seen[0] <= 25 * q.count()  # one group: one list of the best per query
+    monkeypatch.setattr(C, "BLOCK", 50)
+    assert pairs(C.nearest_in_cells(index, q, probes=20, complete=False)) == plain
+
+
+def test_group_scores_are_those_of_plain_loops():
+    rng = np.random.default_rng(3)
+    scope = lambda n: rng.choice(np.array(["A", "B", None], dtype=object), n)
+    v = pd.DataFrame({"chunk_id": [f"c{i % 70:02d}" for i in range(80)], "carrier": scope(80), "line_of_business": scope(80), "cell": rng.integers(0, 4, 80),
+                      "embedding": list(rng.integers(-2, 3, (80, 3)).astype(float))})  # many equal scores, some names twice
+    v.at[5, "embedding"] = np.array([np.nan, 0, 0])
+    q = pd.DataFrame({"query_id": range(40), "carrier": scope(40), "line_of_business": scope(40), "embedding": list(rng.integers(-2, 3, (40, 3)).astype(float)),
+                      "cells": [rng.permutation(4)[:2].astype(np.int32) for _ in range(40)]})
+    for probing in (q, q.assign(cells=None)):
+        got = C.group_scores(v, probing, 7)
+        for a in probing.itertuples():
+            fits = [b for b in v.itertuples() if (a.cells is None or b.cell in a.cells) and not np.isnan(b.embedding).any()
+                    and a.carrier in (None, b.carrier) and a.line_of_business in (None, b.line_of_business)]
+            best = sorted((-round(float(a.embedding @ b.embedding), 9), b.chunk_id) for b in fits)[:7]
+            mine = got[got["query_id"] == a.query_id]
+            assert sorted(zip(-mine["score"], mine["chunk_id"])) == best
+
+
 def test_rare_scopes_are_searched_exactly(spark):
     v = vectors(spark)
     index = C.build_vector_index(v)
