@@ -453,6 +453,19 @@ def test_line_bound_keeps_all_alike(spark):
     assert may_be_alike(bitmaps(lines), apart, 0.8).count() <= 2
 
 
+def test_pairs_of_a_bucket_end_where_they_are_made(spark):
+    """Of the pairs across the components of a bucket only those that can be alike are handed on, and all of these."""
+    from docquarry.llm.line_dedup import across_pairs, bitmaps
+    rng = random.Random(10)
+    pairs = [p for kind in ("2-3", "7-9", "30", "han") for p in _edited_pairs(kind, 20, rng)]
+    lines = spark.createDataFrame([(2 * k + s, line) for k, p in enumerate(pairs) for s, line in enumerate(p)], "o long, line string")
+    left = lines.select((F.col("o") % 3 * 0).alias("bucket"), "o", F.col("o").alias("c"))
+    got = {tuple(r) for r in across_pairs(left, bitmaps(lines), 0.8).collect()}
+    assert {(2 * k, 2 * k + 1) for k in range(len(pairs))} <= got and len(got) <= 2 * len(pairs)
+    whole = left.withColumn("c", F.floor(F.col("o") / 2))  # one component has no pairs
+    assert not any(r.a // 2 == r.b // 2 for r in across_pairs(whole, bitmaps(lines), 0.8).collect())
+
+
 def test_line_dedup_odd(spark, odd):
     from docquarry.llm.line_dedup import dedup_lines
     got = {(r.id, r.text, tuple(r.removed)) for r in dedup_lines(odd).collect()}
