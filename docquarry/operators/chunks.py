@@ -10,7 +10,7 @@ from docquarry import fixed as V
 from docquarry.functions import scan as S
 from docquarry.functions.joins import guarded_join
 from docquarry.functions.packing import greedy_packs
-from docquarry.functions.text import collapse, contains_any, let, rx, strip
+from docquarry.functions.text import collapse, contains_any, holds_any, let, rx, strip
 from docquarry.operators.sections import block_rows, section_rows
 from docquarry.session import cut
 
@@ -26,8 +26,9 @@ def content_flags(text: Column) -> dict[str, Column]:
 
 
 def references(text: Column) -> Column:
-    """Cross-references in order of first appearance, joined by ``|``."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(rx(V.REFERENCE, True)), F.lit(1)), collapse)
+    """Cross-references in order of first appearance, joined by ``|``. All their
+    first letters are s, c or a; elsewhere the pattern is not tried."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(rx("(?=[sca])" + V.REFERENCE, True)), F.lit(1)), collapse)
     firsts = let(F.transform(found, lambda x: F.struct(F.lower(x).alias("low"), x.alias("ref"))), lambda f: F.filter(
         f, lambda x, i: F.array_position(f.low, x.low) == i + 1))
     return F.array_join(firsts.ref, "|")
@@ -37,7 +38,7 @@ def semantic_type(text: Column, chunk_type: Column, low: Column, path: Column) -
     """First rule that applies; ``low`` and ``path`` are the lower-case text and
     heading path."""
     def has(kind):
-        return contains_any(path, V.SEMANTIC_KEYWORDS[kind]) | contains_any(low, V.SEMANTIC_KEYWORDS[kind])
+        return holds_any(path, V.SEMANTIC_KEYWORDS[kind]) | holds_any(low, V.SEMANTIC_KEYWORDS[kind])
 
     return (
         F.when(chunk_type.isin("table", "table_row") | (text.contains("[Context: ") & text.contains("| Col ")), "table")

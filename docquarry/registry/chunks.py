@@ -145,7 +145,9 @@ def k09(spark, sf):
 
 @query("k10_links_and_index", f"WITH {CHUNK_TABLE} SELECT chunk_id, previous_chunk_id, next_chunk_id, chunk_index FROM ck")
 def k10(spark, sf):
-    return K.index_chunks(built(spark, sf)).select("chunk_id", "previous_chunk_id", "next_chunk_id", "chunk_index")
+    # only what the index reads is written, not the enriched chunks
+    linked = built(spark, sf).select("document_id", "relative_path", "local_index", "chunk_id", "previous_chunk_id", "next_chunk_id")
+    return K.index_chunks(linked).select("chunk_id", "previous_chunk_id", "next_chunk_id", "chunk_index")
 
 
 @query("k11_retrieval_text", f"""WITH {CHUNK_TABLE} SELECT chunk_id, concat_ws(' ', CASE WHEN section_number != '' THEN section_number END,

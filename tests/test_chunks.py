@@ -85,3 +85,30 @@ def test_citations(spark):
 def test_grid_has_all_weights():
     grid = E.weight_grid()
     assert grid.shape == (1771, 4) and abs(grid.sum(axis=1) - 1).max() < 1e-9
+
+
+def test_index_writes_only_what_it_reads(spark, monkeypatch):
+    """The numbering of chunks needs their ids and places; texts and enrichment are not written for it."""
+    from docquarry.operators import chunks as K
+    from docquarry.registry.chunks import k10
+    seen, plain = [], K.index_chunks
+    monkeypatch.setattr(K, "index_chunks", lambda chunks, *a, **k: (seen.extend(chunks.columns), plain(chunks, *a, **k))[1])
+    assert k10(spark, "/root/testdata/sf0.001").count() > 0
+    assert seen and not {"text", "page_content", "references", "semantic_type"} & set(seen)
+
+
+def test_enrichment_by_plain_search(spark):
+    """Keywords are found without patterns, and references only where they can begin: the same values as by the patterns alone."""
+    from docquarry import fixed as V
+    from docquarry.functions.text import contains_any, holds_any, rx
+    from docquarry.operators.chunks import references, semantic_type
+    texts = ["see Section 4.2(a), CLAUSE IV and \u017fection 4.2(a) or Sched. XI", "xSection 4", "annexure\u00a0B1 cl. 7 Sec.9 sec. 9", "Kclause 3", "", None,
+             "how do i claim?", "not covered; pre-existing", "customer.care @ help"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = F.transform(F.regexp_extract_all("t", F.lit(rx(V.REFERENCE, True)), F.lit(1)), lambda x: F.lower(F.regexp_replace(x, rx(r"\s+"), " ")))
+    for r in df.select("t", F.lower(references(F.col("t"))).alias("got"), F.array_join(F.array_distinct(found), "|").alias("want")).collect():
+        assert r.got == r.want, r
+    for words in V.SEMANTIC_KEYWORDS.values():
+        assert all(a == b for a, b in df.select(holds_any(F.col("t"), words), contains_any(F.col("t"), words)).collect())
+    kind = str(semantic_type(F.col("t"), F.lit("paragraph"), F.col("t"), F.col("t")))
+    assert kind.lower().count("rlike") <= 2
