@@ -613,3 +613,40 @@ def test_lines_that_share_a_passage_meet_by_rare_shingles(spark):
         root[max(find(i), find(j))] = min(find(i), find(j))
     gone = {r.id for r in dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect() if r.removed}
     assert gone == {i for i in range(len(lines)) if find(i) != i}
+
+
+def test_lines_of_few_words_meet_where_enough_is_behind(spark):
+    """Lines made of the same few words share rare shingles everywhere; a pair ends where too few shingles are behind the shared one."""
+    from docquarry.llm.line_dedup import SHINGLE, rare_pairs
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(60)]
+    lines = [" ".join(rng.choice(words) for _ in range(14)) for _ in range(250)]
+    for _ in range(40):
+        parts = rng.choice(lines[:250]).split(" ")
+        parts[rng.randrange(len(parts))] = rng.choice(words)
+        lines.append(" ".join(parts))
+    sets = [{s[i:i + SHINGLE] for i in range(len(s) - SHINGLE + 1)} for s in lines]
+    alike = {(i, j) for j in range(len(lines)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = [tuple(r) for r in rare_pairs(spark.createDataFrame(list(enumerate(lines)), "o long, line string"), 0.8).collect()]
+    assert alike <= set(got) and len(alike) >= 20
+    assert len(got) < 2000, len(got)
+
+
+def test_line_pairs_in_passes(spark, monkeypatch):
+    """More passes over shares of the buckets give the same lines."""
+    from docquarry.llm import line_dedup as L
+    left = spark.createDataFrame([(b, o, o // 2, 3) for b in range(20) for o in range(6)], "bucket long, o long, c long, k int")
+    assert L.passes(left) == 1 and L.passes(left.limit(0)) == 1
+    rng = random.Random(22)
+    lines = [" ".join(str(rng.randint(100, 999)) for _ in range(12)) for _ in range(30)]
+    for i in range(90):  # chains of edited lines, so that buckets have several components
+        parts = lines[i].split(" ")
+        parts[rng.randrange(len(parts))] = str(rng.randint(100, 999))
+        lines.append(" ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    whole = sorted(tuple(r) for r in L.dedup_lines(docs).collect())
+    monkeypatch.setattr(L, "PASS", 1)
+    assert L.passes(left) == 2
+    seen = []
+    monkeypatch.setattr(L, "passes", lambda rows: seen.append(3) or 3)
+    assert sorted(tuple(r) for r in L.dedup_lines(docs).collect()) == whole and seen == [3]
