@@ -59,7 +59,8 @@ def close_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
     equality join and 1 on the other, so pairs that agree on a segment meet
     once, under the segment itself, and not under each of its 32 variants. The
     number of pairs is that of the fingerprints with such a segment, not that
-    of their copies."""
+    of their copies. Neither side is broadcast: Spark takes the 66 entries of a
+    fingerprint to be of the size of one."""
     if not 0 <= distance <= 3:
         raise ValueError("two segments with one deleted bit find up to three differing bits")
     bit = F.col("place") % (SEGMENT + 1)
@@ -76,7 +77,7 @@ def close_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     left = signs.filter("one IS NULL OR NOT one").select(key.alias("key"), F.col("fingerprint").alias("a"), F.isnull("one").alias("same"))
     right = signs.filter("one IS NULL OR one").select(key.alias("key"), F.col("fingerprint").alias("b"))
-    pairs = left.join(right, "key").filter(near & (~F.col("same") | (F.col("a") < F.col("b"))))
+    pairs = left.join(right.hint("merge"), "key").filter(near & (~F.col("same") | (F.col("a") < F.col("b"))))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -112,6 +112,14 @@ def test_simhash(spark, odd):
     assert simhash_components(docs.limit(0)).count() == 0
 
 
+def test_simhash_entries_are_not_broadcast(spark):
+    """66 entries of a fingerprint are made at once; Spark estimates them at the size of one."""
+    from docquarry.llm.simhash import close_pairs
+
+    prints = spark.range(1000).select(F.xxhash64("id").alias("fingerprint"))
+    assert "Broadcast" not in close_pairs(prints)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_links_at_three_bits(spark):
     from docquarry.llm.simhash import close_pairs
     rng = random.Random(1)
