@@ -43,7 +43,7 @@ def q03(spark, sf):
 
 @query("q04_type_histogram", f"WITH {CHUNK_TABLE} SELECT chunk_type, count(*) AS chunks FROM ck GROUP BY 1")
 def q04(spark, sf):
-    return Q.type_histogram(built(spark, sf))
+    return Q.type_histogram(built(spark, sf, "chunk_type"))
 
 
 SHARES = " UNION ALL ".join(f"SELECT {lit(k)} AS key, round(avg(CASE WHEN {k} IS NOT NULL AND CAST({k} AS VARCHAR) != '' THEN 1.0 ELSE 0.0 END), 3) AS completeness FROM ck" for k in V.COMPLETENESS_KEYS)
@@ -51,14 +51,15 @@ SHARES = " UNION ALL ".join(f"SELECT {lit(k)} AS key, round(avg(CASE WHEN {k} IS
 
 @query("q05_metadata_completeness", f"WITH {CHUNK_TABLE} {SHARES}")
 def q05(spark, sf):
-    return Q.metadata_completeness(built(spark, sf))
+    return Q.metadata_completeness(built(spark, sf, *V.COMPLETENESS_KEYS))
 
 
 def largest(name, kind):
     @query(name, f"""WITH {CHUNK_TABLE} SELECT chunk_id, source, section_title, heading_path, length(page_content) AS length, page_start FROM ck WHERE chunk_type = {lit(kind)}
 ORDER BY length DESC, chunk_id LIMIT 10""")
     def run(spark, sf):
-        return Q.largest_chunks(built(spark, sf), kind).drop("bullet_count")
+        columns = ("chunk_id", "chunk_type", "source", "section_title", "heading_path", "page_content", "bullet_count", "page_start")
+        return Q.largest_chunks(built(spark, sf, *columns, where=F.col("chunk_type") == kind), kind).drop("bullet_count")
 
 
 largest("q06_largest_tables", "table")

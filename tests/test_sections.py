@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 from docquarry.operators import chunks as K
 from docquarry.operators import sections as T
 from docquarry.registry.base import documents_meta, pages
+from docquarry.registry.chunks import k10
+from docquarry.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,6 +64,27 @@ def test_segments_change_nothing(spark, per_segment):
     assert a.count() == b.count() and a.exceptAll(b).isEmpty()
 
 
+def test_shares_change_nothing(spark, monkeypatch):
+    """Chunks made of a few documents at a time are those of all, and of a share only the picked columns stay on disk."""
+    cols = ["document_id", "chunk_id", "local_index", "previous_chunk_id", "next_chunk_id", "text", "page_start", "page_end", "heading_path", "semantic_type"]
+    whole = K.build_chunks(T.parse_pages(pages(spark, SF))[0], documents_meta(spark, SF)).select(cols)
+    before = set(os.listdir(shared_dir(spark)))
+    parts = K.chunk_shares(pages(spark, SF), documents_meta(spark, SF), 3, lambda c: c.select(cols))
+    left = set(os.listdir(shared_dir(spark))) - before
+    assert len(left) == 3 and all(name.startswith("chunks-") for name in left)
+    assert whole.count() == parts.count() and whole.exceptAll(parts).isEmpty()
+    monkeypatch.setattr(K, "SHARE", 1 << 20)
+    texts = spark.range(5).select(F.repeat(F.lit("x"), 1 << 19).alias("text"))
+    assert (K.shares(texts), K.shares(texts.limit(0))) == (3, 1)
+
+
+def test_chunk_queries_leave_no_stages(spark):
+    before = set(os.listdir(shared_dir(spark)))
+    k10(spark, SF)
+    left = {name.split("-")[0] for name in set(os.listdir(shared_dir(spark))) - before}
+    assert left == {"chunks", "offsets"}
+
+
 def test_random_lines_in_segments(spark):
     rng = random.Random(3)
     pool = ["1 Alpha", "2.1 Beta", "3.2", "GENERAL TERMS", "- bullet", "| a | b |", "plain prose goes on", "plain prose ends.", "A-12", "Scope of Cover"]
