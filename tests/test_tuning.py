@@ -1,4 +1,5 @@
 """Rerank features, weight grid, duplicate texts of a corpus, numbered children, windows of percentiles."""
+import os
 import random
 import re
 
@@ -9,7 +10,7 @@ from docquarry.functions.scan import with_segments
 from docquarry.operators import chunks as K
 from docquarry.operators import evaluate as E
 from docquarry.streaming import monitor as M
-from docquarry.session import fresh_path
+from docquarry.session import fresh_path, shared_dir
 
 
 def test_weight_grid_ranks_long_queries_like_short_ones(spark):
@@ -83,6 +84,20 @@ def test_duplicate_texts_of_a_corpus(spark):
     assert member.count() == pairs.count() == 0
 
 
+def test_duplicate_texts_in_shares(spark, monkeypatch):
+    """Words put in order for a share of the classes at a time give the pairs of all at once; null and repeated ids too."""
+    rng = random.Random(9)
+    texts = [" ".join(f"word{rng.randrange(200)}" for _ in range(30)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " more") for i, t in enumerate(texts[:20])] + [(None, texts[0] + " none"), (None, None), (7, texts[9] + " two words")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    once = [sorted(map(str, f.collect())) for f in E.corpus_duplicates(df, "id", "text")]
+    before = set(os.listdir(shared_dir(spark)))
+    monkeypatch.setattr(E, "SHARE", 500)
+    many = [sorted(map(str, f.collect())) for f in E.corpus_duplicates(df, "id", "text")]
+    left = [name.split("-")[0] for name in set(os.listdir(shared_dir(spark))) - before]
+    assert once == many and len(once[1]) >= 21 and left.count("word_heads") > 2
+
+
 def test_children_are_numbered_over_pages(spark):
     rows = [(d, p, f"# H{p}\n" + "text " * (60 * ((p * 7) % 5)) + f"\n## S{p}\nend") for d in "ab" for p in range(1, 8)] + [("c", 1, None), ("c", 2, "x"), ("d", 1, "")]
     pages = spark.createDataFrame(rows, "document_id string, page int, text string")
